@@ -198,3 +198,40 @@ def bucket_bounds(n: int) -> np.ndarray:
 
 def pack_bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
+
+
+# --- groups of whole texts in a worker -----------------------------------------------------------
+
+def text_groups(column: pa.Array, group_bytes: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first, texts): runs of whole texts of about ``group_bytes``; a longer text stands alone."""
+    at, size, group = 0, 0, []
+    for i, x in enumerate(text_bytes(column)):
+        if group and size + len(x) > group_bytes:
+            yield at, group
+            at, size, group = i, 0, []
+        group.append(x)
+        size += len(x)
+    if group:
+        yield at, group
+
+
+def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes in a row, and where each ends."""
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+
+
+def word_codes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.DictionaryArray:
+    """Exact codes of the words at ``starts``..``ends`` of ``body``."""
+    inside = np.zeros(len(body) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=offsets[1:])
+    data = body[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+
+
+def sums_by(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` over the consecutive spans that end at ``ends``."""
+    total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))[ends]
+    return np.diff(total, prepend=0)
