@@ -24,18 +24,36 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verbena.llm.html_extract import main_text
+
+    return main_text(read(spark, sf_dir, "pages"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verbena.llm.media import stored_digest
 
     return stored_digest(read(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verbena.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verbena.llm.toxicity import toxicity
 
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verbena.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(read(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verbena.llm.packing import pack
 

@@ -107,7 +107,7 @@ def batch_table(docs: DataFrame, name: str) -> DataFrame:
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    ordered = documents_of(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = documents_of(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     packed = ordered.mapInArrow(pack_rows, BATCH_SCHEMA)
     table = f"verbena_{name}_{uuid.uuid4().hex}"
     (packed.write.format("parquet").option("compression", "none").option("path", f"{scratch_dir(spark)}/{table}")
@@ -115,9 +115,9 @@ def batch_table(docs: DataFrame, name: str) -> DataFrame:
     return spark.table(table)
 
 
-def answers_by_batch(batches: DataFrame, answers: DataFrame) -> DataFrame:
+def answers_by_batch(batches: DataFrame, answers: DataFrame, name: str = "answers") -> DataFrame:
     """Each packed batch with its answers ``struct(bucket, answer)`` as an array (null if it has none)."""
-    grouped = answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "answer")).alias("answers"))
+    grouped = answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
     return batches.join(grouped.hint("shuffle_hash"), "batch", "left")
 
 
@@ -235,3 +235,32 @@ def sums_by(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over the consecutive spans that end at ``ends``."""
     total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))[ends]
     return np.diff(total, prepend=0)
+
+
+# --- questions to buckets, answers to batches -----------------------------------------------------
+
+def ask(batches: DataFrame, fn, answer_columns: int = 0) -> DataFrame:
+    """(bucket, batch, payload): what ``fn(ids, lens, body, *answers)`` has to ask for each packed batch.
+
+    ``answers`` are dicts from bucket to bytes, one for each of the columns ``answers``, ``answers2``, ...
+    """
+    names = [f"answers{i or ''}" for i in range(answer_columns)]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for row in part.to_pylist():
+                rows = list(fn(*unpack(row["ids"], row["lens"], row["body"]), *({a["bucket"]: a["answer"] for a in row[n] or ()} for n in names)))
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([row["batch"]] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "batch", "payload"])
+
+    return batches.mapInArrow(run, "bucket int, batch long, payload binary")
+
+
+def answer(asked: DataFrame, fn) -> DataFrame:
+    """(batch, bucket, answer): ``fn(payloads)`` gives an answer for each payload of a bucket, in batch order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("batch")
+        out = fn(table.column("payload").to_pylist(), table.column("batch").to_numpy())
+        return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "answer": pa.array(out, pa.binary())})
+
+    return asked.groupBy("bucket").applyInArrow(run, "batch long, bucket int, answer binary")
