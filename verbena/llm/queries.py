@@ -48,6 +48,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verbena.llm.mixing import mix_sample
+
+    return mix_sample(read(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 6))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verbena.llm.substring_dedup import substring_dedup
 
@@ -78,4 +84,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from verbena.llm.mixing import mix_sql
+
+    return {"op6_mix_sources": mix_sql()}

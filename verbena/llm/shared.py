@@ -6,6 +6,7 @@ temporary folder made. Nothing here uses the executors' own disks.
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,7 +58,7 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
 
 # --- packed batches -----------------------------------------------------------------------------
 
-BATCH_SCHEMA = "batch long, ids binary, lens binary, body binary"
+BATCH_SCHEMA = "batch long, ids binary, lens binary, body binary, carry binary"
 
 
 def pack_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,44 +71,54 @@ def pack_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pid, seq = TaskContext.get().partitionId(), 0
     ids: list[int] = []
     texts: list[bytes] = []
+    carried: list[str | None] = []
     size = 0
     squeeze = zstandard.ZstdCompressor(level=3)
 
     def out() -> pa.RecordBatch:
-        nonlocal ids, texts, size, seq
+        nonlocal ids, texts, carried, size, seq
         row = pa.RecordBatch.from_pydict({
             "batch": pa.array([(pid << 32) | seq], pa.int64()),
             "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
             "lens": pa.array([np.array([len(x) for x in texts], np.int64).tobytes()], pa.binary()),
             "body": pa.array([squeeze.compress(b"".join(texts))], pa.binary()),
+            "carry": pa.array([squeeze.compress(json.dumps(carried).encode()) if any(carried) else None], pa.binary()),
         })
-        ids, texts, size, seq = [], [], 0, seq + 1
+        ids, texts, carried, size, seq = [], [], [], 0, seq + 1
         return row
 
     for part in parts:
-        for doc, text in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), strict=True):
+        for doc, text, more in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), part.column(2).to_pylist(), strict=True):
             doc = -(1 << 63) if doc is None else doc
             if size >= BATCH_BYTES and doc != ids[-1]:
                 yield out()
             ids.append(doc)
             texts.append(text)
+            carried.append(more)
             size += len(text)
     if ids:
         yield out()
 
 
+def carried_of(data: bytes | None, n: int) -> list[str | None]:
+    """What each document of a batch carries along."""
+    return json.loads(zstandard.ZstdDecompressor().decompress(data)) if data else [None] * n
+
+
 def unpack(ids: bytes, lens: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
     return np.frombuffer(ids, np.int64), np.frombuffer(lens, np.int64), zstandard.ZstdDecompressor().decompress(body)
 
 
-def batch_table(docs: DataFrame, name: str) -> DataFrame:
-    """All documents as packed batches in doc_id order, a table bucketed by ``batch``.
+def batch_table(docs: DataFrame, name: str, carry: F.Column | None = None) -> DataFrame:
+    """All documents as packed batches in doc_id order, a table bucketed by ``batch``; ``carry`` is a string to take along.
 
     The one shuffle of texts: later joins on ``batch`` read the buckets in place and shuffle only their small side.
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    ordered = documents_of(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    carried = F.lit(None).cast("string") if carry is None else carry
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), carried.alias("carry"))
+    ordered = own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     packed = ordered.mapInArrow(pack_rows, BATCH_SCHEMA)
     table = f"verbena_{name}_{uuid.uuid4().hex}"
     (packed.write.format("parquet").option("compression", "none").option("path", f"{scratch_dir(spark)}/{table}")

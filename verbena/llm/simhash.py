@@ -54,15 +54,19 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, with_hash: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint of every whole text as a signed 64-bit integer; ``hash`` of the text if asked for."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             fp = np.array([fingerprint(x, shingle, seed) for x in text_bytes(part.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            more = [part.column(2)] if with_hash else []
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64)), *more], ["doc_id", "fp", "hash"][: 2 + with_hash])
 
-    return documents_of(docs).mapInArrow(run, "doc_id long, fp long")
+    own = documents_of(docs)
+    if with_hash:
+        own = own.withColumn("hash", text_hash(F.col("text")))
+    return own.mapInArrow(run, "doc_id long, fp long" + ", hash long" * with_hash)
 
 
 def signatures(fp: str) -> F.Column:
@@ -83,22 +87,49 @@ def codes(fp: str) -> F.Column:
 def links(distinct: DataFrame) -> DataFrame:
     """(a, b): links between different fingerprints within two bits, enough to connect all that are connected."""
     own = Window.partitionBy("sig").orderBy("fp")
-    company = (
+    company = materialize(
         distinct.select("fp", F.explode(signatures("fp")).alias("sig"))
         .select("fp", (F.lag("fp").over(own).isNotNull() | F.lead("fp").over(own).isNotNull()).alias("shared"))
-        .filter("shared").select("fp").distinct()
+        .filter("shared").select("fp").distinct(),
+        "company",
     )
     coded = company.select("fp", F.explode(codes("fp")).alias("code"))
     least = coded.groupBy("code").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").select("code", "a")
     return coded.join(least, "code").filter("fp != a").select("a", F.col("fp").alias("b")).distinct()
 
 
+def placed_fingerprints(prints: DataFrame, least: F.Column) -> DataFrame:
+    """(fp, root, least): every distinct fingerprint with its component's root and the least of its rows."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min(least).alias("least")), "distinct-fingerprints")
+    roots = connected_components(links(distinct.select("fp")))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that is reachable over links of at most two bits."""
     prints = materialize(fingerprints(docs, shingle, seed), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = connected_components(links(distinct.select("fp")))
-    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = placed_fingerprints(prints, F.col("doc_id"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = placed.join(named, "root").select("fp", "component_id")
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """One row of each component, all columns as they are: that of the smallest doc_id (then the least text hash).
+
+    A null doc_id stands only for components that have no other. Rows that repeat the chosen one wholly are dropped too.
+    """
+    prints = materialize(fingerprints(docs, shingle, seed, with_hash=True), "fingerprints")
+    placed = placed_fingerprints(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
+    best = placed.groupBy("root").agg(F.min("least").alias("least"))
+    chosen = best.select("least.doc_id", "least.hash")
+    times = prints.groupBy("doc_id", "hash").agg(F.count("*").alias("times")).withColumnsRenamed({"doc_id": "__d", "hash": "__h"})
+    wanted = chosen.join(times, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("hash") == F.col("__h"))).select("__d", "__h", "times")
+    own = docs.withColumn("__hash", text_hash(F.col("text")))
+    kept = own.join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__h")))
+    once, more = kept.filter("times = 1"), kept.filter("times > 1").dropDuplicates(["__d", "__h"])
+    return once.unionByName(more).select(*docs.columns)
+
+
+def text_hash(text: F.Column) -> F.Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))

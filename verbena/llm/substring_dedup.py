@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from verbena.llm.shared import BUCKETS_PER_PARTITION, FAMILIES, U64, answer, answers_by_batch, ask, batch_table, bucket_bounds, expand_sorted, materialize, shuffle_partitions, spans_hash, squeeze_sorted, unpack, word_spans
+from verbena.llm.shared import BUCKETS_PER_PARTITION, FAMILIES, U64, answer, answers_by_batch, ask, batch_table, bucket_bounds, carried_of, expand_sorted, materialize, shuffle_partitions, spans_hash, squeeze_sorted, unpack, word_spans
 
 WINDOW = 20
 NULL_ID = -(1 << 63)
@@ -214,15 +215,15 @@ def grouped(bad: DataFrame) -> DataFrame:
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def substring_dedup(docs: DataFrame, with_text: bool = False, key_bits: int = 64) -> DataFrame:
+def substring_dedup(docs: DataFrame, with_text: bool = False, carry: F.Column | None = None, key_bits: int = 64) -> DataFrame:
     """Words removed from each document, and the digest of the words left.
 
     With ``with_text`` also the text without the removed words: what stood between two kept words stays, runs of
-    removed words leave one line break if they held any, else one space.
+    removed words leave one line break if they held any, else one space. ``carry`` is a string column to take along.
     """
     n = BUCKETS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
     bounds = bucket_bounds(n)
-    batches = batch_table(docs, "words")
+    batches = batch_table(docs, "words", carry)
     marked = answers_by_batch(batches, materialize(answer(ask(batches, ask_edges(bounds, key_bits)), sources), "edge-sources"))
     paths = materialize(path_rows(marked, bounds, key_bits, single=False), "paths")
     branched = materialize(unverified(batches, paths, key_bits), "branched-paths")
@@ -256,11 +257,26 @@ def substring_dedup(docs: DataFrame, with_text: bool = False, key_bits: int = 64
                     for c, x in zip(out, (None if doc == NULL_ID else doc, len(words), removed, hashlib.sha256(b" ".join(kept)).hexdigest(), left), strict=True):
                         out[c].append(x)
                 cols = [pa.array(out["doc_id"], pa.int64()), pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()), pa.array(out["kept_sha256"], pa.string())]
+                names = list(out)[:-1]
                 if with_text:
-                    cols.append(pa.array(out["text"], pa.binary()).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, list(out) if with_text else list(out)[:-1])
-
-    return final.mapInArrow(run, OUT + ", text string" * with_text)
+                    cols += [pa.array(out["text"], pa.binary()).cast(pa.string()), pa.array(carried_of(row["carry"], len(ids)), pa.string())]
+                    names += ["text", "carry"]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return final.mapInArrow(run, OUT + ", text string, carry string" * with_text)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated words cut from ``text`` and ``n_chars`` counted anew; rows left empty by that go."""
+    others = [f for f in docs.schema if f.name not in ("doc_id", "text", "n_chars")]
+    carry = F.to_json(F.struct(*[F.col(f.name) for f in others]), {"ignoreNullFields": "false"}) if others else None
+    cut = substring_dedup(docs, with_text=True, carry=carry).filter("n_removed = 0 OR n_removed < n_words")
+    if others:
+        cut = cut.withColumn("carry", F.from_json("carry", StructType(others)))
+    made = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[made.get(c, F.col(f"carry.{c}")).alias(c) for c in docs.columns])
 
 
 def cut_text(text: bytes, starts: np.ndarray, stops: np.ndarray, gone: np.ndarray) -> bytes:

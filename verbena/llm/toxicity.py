@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -293,3 +294,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLE
     """Scores and verdicts of all documents, with evidence."""
     found = scored(docs, fit(docs, labels, max_examples))
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "terms")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores below 0.5."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_examples))
+    place = docs.columns.index("text")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        vectors = Vectors({t: i for i, t in enumerate(m.terms)})
+        for part in parts:
+            good: list[bool] = []
+            for _, texts in text_groups(pc.fill_null(part.column(place), "")):
+                good += [m.score(v)[0] < 0.5 for v in vectors.of(texts)]
+            yield part.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
