@@ -1,8 +1,63 @@
-"""The training-corpus pipeline."""
+"""The training-corpus pipeline: reject toxic documents, keep one of each near-duplicate group, cut long repeats, mix the
+sources to target weights, pack the tokens into sequences.
 
-STAGES: list = []
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept. All but the last return the
+columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from verbena.llm.mixing import mix_documents
+from verbena.llm.packing import pack
+from verbena.llm.queries import read, tokenizer_file
+from verbena.llm.shared import materialize
+from verbena.llm.simhash import one_of_each
+from verbena.llm.substring_dedup import without_repeats
+from verbena.llm.toxicity import without_toxic
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose calibrated toxicity is below one half."""
+    return without_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by SimHash fingerprints within two bits."""
+    return one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without words covered by 20-word windows that start earlier; wholly covered ones go."""
+    return without_repeats(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose token weights are raked to the targets of source, language and topic."""
+    return mix_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document's tokens with its sequence and offset."""
+    return pack(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("simhash_dedup", keep_one_of_each),
+    ("substring_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Fingerprints, tokens and nearest neighbours are beyond SQL: the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``, each result written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
