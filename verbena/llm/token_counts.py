@@ -93,7 +93,8 @@ class Counter:
 
     def counts(self, texts: list[bytes]) -> np.ndarray:
         """Tokens of each text; a leading space is understood unless the text is empty."""
-        body, ends = joined([b" " + x if x else x for x in texts])
+        escaped = SPACE.encode()
+        body, ends = joined([b" " + (x.replace(escaped, b" ") if escaped in x else x) if x else x for x in texts])
         if not len(body):
             return np.zeros(len(texts), np.int64)
         space = body == 32
