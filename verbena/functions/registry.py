@@ -251,8 +251,15 @@ def place(c: Any) -> Column:
     return c.stage(c.over_order(F.row_number()) - 1)
 
 
-add("agg", "idxmax", lambda c, x: c.agg(F.max_by(place(c), lit(x))))
-add("agg", "idxmin", lambda c, x: c.agg(F.min_by(place(c), lit(x))))
+def extreme_place(c: Any, x: Any, most: bool) -> Column:
+    """The first place of the greatest or least value."""
+    p = place(c)
+    key = F.when(lit(x).isNotNull(), F.struct(lit(x).alias("x"), (-p if most else p).alias("p")))
+    return c.agg((F.max_by if most else F.min_by)(p, key))
+
+
+add("agg", "idxmax", lambda c, x: extreme_place(c, x, True))
+add("agg", "idxmin", lambda c, x: extreme_place(c, x, False))
 
 
 def edge_index(f: Callable) -> Callable:
