@@ -231,11 +231,11 @@ def ranks(t):
             >> v.mutate(dr=big(v.dense_rank(_.k)), mr=big(v.min_rank(_.k)), pr=v.percent_rank(_.k).round(8), cd=v.cume_dist(_.k).round(8), rn=big(v.row_number(_))) >> v.ungroup() >> v.select(_.o_orderkey, _.dr, _.mr, _.pr, _.cd, _.rn))
 
 
-@query("""SELECT event_id, lag(value) OVER w AS before, lead(value, 2) OVER w AS after2, round(sum(value) OVER w, 4) AS running, max(value) OVER w AS top, round(avg(value) OVER w, 7) AS mean, round(value - lag(value) OVER w, 6) AS change
+@query("""SELECT event_id, lag(value) OVER w AS before, lead(value, 2) OVER w AS after2, round(sum(value) OVER w, 4) AS running, max(value) OVER w AS top, round(avg(value) OVER w, 10) AS mean, round(value - lag(value) OVER w, 6) AS change
  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def running_values(t):
     return (t.events >> v.group_by(_.user_id) >> v.arrange(_.event_id)
-            >> v.mutate(before=v.lag(_.value), after2=v.lead(_.value, 2), running=_.value.cumsum().round(4), top=_.value.cummax(), mean=v.cummean(_.value).round(7), change=_.value.diff().round(6))
+            >> v.mutate(before=v.lag(_.value), after2=v.lead(_.value, 2), running=_.value.cumsum().round(4), top=_.value.cummax(), mean=v.cummean(_.value).round(10), change=_.value.diff().round(6))
             >> v.ungroup() >> v.select(_.event_id, _.before, _.after2, _.running, _.top, _.mean, _.change))
 
 
