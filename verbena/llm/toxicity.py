@@ -36,7 +36,7 @@ MAX_EXAMPLES, MAX_TERMS = 4000, 4096
 #: Least chi-squared of a vocabulary term (one in a million by chance) and fewest labelled texts with it.
 MIN_CHI2, MIN_TEXTS = 24.0, 3
 PREFIXES = (4, 5, 6)
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 4
 #: Votes that stand for no neighbour: a text with one faint neighbour leans on this.
 PRIOR_WEIGHT = 0.05
 CACHE_WORDS = 300_000
@@ -106,30 +106,38 @@ class BlockMaxIndex:
         self.most = np.zeros((n_terms, max(1, self.blocks)))
         np.maximum.at(self.most.ravel(), cell, self.weight)
 
+    def cosines(self, term: np.ndarray, weight: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Cosines of the examples in the live blocks, 0 elsewhere."""
+        total = np.zeros(self.blocks * BLOCK)
+        for t, w in zip(term.tolist(), weight.tolist(), strict=True):
+            a, b = self.start[t * self.blocks], self.start[(t + 1) * self.blocks]
+            example = self.example[a:b]
+            keep = live[example // BLOCK]
+            total[example[keep]] += w * self.weight[a:b][keep]
+        return total
+
     def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine above 0 (ties: the earlier example), without example ``skip``."""
+        """The k examples of greatest cosine above 0 (ties: the earlier example), without example ``skip``.
+
+        The blocks of greatest bound give a first k-th best; then all blocks whose bound reaches it are read.
+        """
         term, weight = query
         if not len(term) or not self.n:
             return np.empty(0, np.int64), np.empty(0)
         bound = weight @ self.most[term]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        got, cosines, least = np.empty(0, np.int64), np.empty(0), 0.0
-        for block in order.tolist():
-            if len(got) == k and bound[block] + 1e-12 < least:
-                break
-            total = np.zeros(BLOCK)
-            for t, w in zip(term.tolist(), weight.tolist(), strict=True):
-                a, b = self.start[t * self.blocks + block], self.start[t * self.blocks + block + 1]
-                total[self.example[a:b] - block * BLOCK] += w * self.weight[a:b]
-            if 0 <= skip - block * BLOCK < BLOCK:
-                total[skip - block * BLOCK] = 0
-            hit = np.flatnonzero((total > 0) & (total >= least))
-            got, cosines = np.append(got, hit + block * BLOCK), np.append(cosines, total[hit])
-            best = np.lexsort((got, -cosines.round(12)))[:k]
-            got, cosines = got[best], cosines[best]
-            least = cosines[-1] if len(got) == k else 0.0
-        return got, cosines
+        live = np.zeros(self.blocks, bool)
+        live[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        for final in (False, True):
+            total = self.cosines(term, weight, live)
+            if skip >= 0:
+                total[skip] = 0
+            hit = np.flatnonzero(total > 0)
+            least = np.partition(total[hit], len(hit) - k)[len(hit) - k] if len(hit) > k else 0.0
+            if not final:
+                live = bound + 1e-12 >= least
+        hit = hit[total[hit] + 1e-12 >= least]
+        best = np.lexsort((hit, -total[hit].round(12)))[:k]
+        return hit[best], total[hit[best]]
 
 
 def vote(labels: np.ndarray, got: np.ndarray, cosines: np.ndarray, weights: np.ndarray, prior: float) -> float:
