@@ -182,6 +182,13 @@ def test_head_top_n(mk):
     assert rows(df >> v.top_n(-2, _.a), "a") == [(1,), (2,)] and rows(df >> v.arrange(_.a) >> v.tail(2), "a") == [(5,), (6,)]
 
 
+def test_row_counts(mk):
+    df = mk([(1, "a"), (2, None), (0, "c")], "x long, g string")
+    assert rows(df >> v.repeat_rows(_.x), "x") == [(1,), (2,), (2,)] and rows(df >> v.drop_missing(_.g), "x") == [(0,), (1,)]
+    assert (df >> v.summary("count")).to_spark().count() == 1 and len(rows(df >> v.sample_rows(1.0))) == 3
+    assert rows(df >> v.fast_filter(_.x > 0), "x") == [(1,), (2,)]
+
+
 def test_spread_gather(mk):
     long = mk([(1, "a", 1), (1, "b", 2), (2, "b", 3)], "id long, m string, v long")
     assert rows(long >> v.spread("m", "v")) == [(1, 1, 2), (2, None, 3)]

@@ -383,7 +383,8 @@ refuse("Spark has no function for it", "str.wrap str.normalize dt.timetz")
 refuse("it gives Python objects", "dt.to_pydatetime dt.to_pytimedelta")
 refuse("it is index metadata", "dt.freq dt.tz")
 refuse("there are no sparse columns", "sparse.density sparse.fill_value sparse.from_coo sparse.npoints sparse.sp_values sparse.to_coo sparse.to_dense")
-refuse("it changes the number of rows; use the verb of that name", "describe nlargest nsmallest unique value_counts dropna drop_duplicates head tail sample explode repeat sort_values")
+for _name, _verb in {"describe": "summary", "nlargest": "top_n", "nsmallest": "top_n", "unique": "distinct", "value_counts": "count", "dropna": "drop_missing", "drop_duplicates": "distinct", "head": "head", "tail": "tail", "sample": "sample_rows", "explode": "unnest", "repeat": "repeat_rows", "sort_values": "arrange"}.items():
+    refuse(f"it changes the number of rows; use the verb {_verb}()", _name)
 
 add("elwise", "name", lambda c, x: F.lit(None), True)
 add("elwise", "ndim", lambda c, x: F.lit(1), True)

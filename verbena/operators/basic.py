@@ -225,6 +225,15 @@ def distinct(t: Tbl, /, *args: Any, _keep_all: bool = False, **kwargs: Any) -> T
     return Tbl(t.df.select(*map(quoted, names)).distinct(), t.group_by)
 
 
+@verb
+def repeat_rows(t: Tbl, /, times: Any) -> Tbl:
+    """Each row as often as a number or column says."""
+    c = t.context("repeat_rows")
+    h = hidden_name()
+    n = c.term(times).col
+    return t.settle(c.df.withColumn(h, F.explode(F.array_repeat(F.lit(1), n.cast("int")))), t.columns)
+
+
 @verb
 def drop_missing(t: Tbl, /, *args: Any) -> Tbl:
     """Rows without nulls in the given columns (all without any)."""
