@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Raw text bytes in one packed batch: bounds the memory of a Python worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Distinct shuffle buckets for each shuffle partition.
 BUCKETS_PER_PARTITION = 2
 
@@ -153,7 +153,7 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            m = max(n, 2 * len(self.up))
+            m = -(-n // (1 << 16)) << 16
             for name, b in (("up", self.base), ("down", self.inverse)):
                 x = np.full(m, b, U64)
                 x[0] = 1
@@ -174,6 +174,22 @@ def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers:
     return mix(h + (ends - starts).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
+#: Bytes that are hashed in one go: bounds the tables of powers that a worker keeps.
+HASH_BYTES = 1 << 19
+
+
+def rising_spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
+    """``spans_hash`` of spans whose starts and ends rise, in slices; a longer span gets a slice of its own."""
+    out = np.empty(len(starts), U64)
+    i = 0
+    while i < len(starts):
+        low = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, low + HASH_BYTES, side="right")))
+        out[i:j] = spans_hash(values[low : int(ends[j - 1])], starts[i:j] - low, ends[i:j] - low, powers)
+        i = j
+    return out
+
+
 def word_spans(body: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and document index of every word ``[^\\x20\\x09-\\x0D]+``; words never cross documents."""
     space = (body == 32) | ((body >= 9) & (body <= 13))

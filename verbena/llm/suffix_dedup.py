@@ -31,14 +31,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from verbena.llm.shared import BUCKETS_PER_PARTITION, FAMILIES, U64, answer, answers_by_batch, ask, batch_table, bucket_bounds, expand_sorted, mix, shuffle_partitions, squeeze_sorted, unpack
+from verbena.llm.shared import BUCKETS_PER_PARTITION, FAMILIES, U64, answer, answers_by_batch, ask, batch_table, bucket_bounds, expand_sorted, mix, rising_spans_hash, shuffle_partitions, squeeze_sorted, unpack
 
 WINDOW, ANCHOR = 50, 25
 #: Anchors in a window, bytes around an anchor that its windows can reach.
 CHOICES, CONTEXT = WINDOW - ANCHOR + 1, 2 * WINDOW - ANCHOR
 BEFORE = WINDOW - ANCHOR
 SHALLOW = 24
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 NULL_ID = -(1 << 63)
 
 
@@ -163,7 +163,8 @@ def slice_anchors(body: np.ndarray, lens: np.ndarray) -> Anchors | None:
     owner = owner[valid]
     new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1])))
     place = owner[new]
-    return Anchors(place, key[place], doc[place], valid[new], valid[np.append(new[1:], len(valid)) - 1])
+    spread = mix(key[place] ^ U64(0x9E3779B97F4A7C15))  # owners have small hashes; buckets need even ones
+    return Anchors(place, spread, doc[place], valid[new], valid[np.append(new[1:], len(valid)) - 1])
 
 
 def ask_anchors(bounds: np.ndarray):
@@ -354,11 +355,7 @@ def removed_bytes(ids: np.ndarray, lens: np.ndarray, body: bytes, bounds: np.nda
 
 def in_batch(data: np.ndarray, window: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
     """Which windows also start in a document of the batch with a smaller id. Hashes group them, bytes decide."""
-    n = len(data)
-    up, down = FAMILIES[1][0].get(n + 1)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(data * up[:n], out=sums[1:])
-    key = mix((sums[window + WINDOW] - sums[window]) * down[window])
+    key = rising_spans_hash(data, window, window + WINDOW, FAMILIES[1][0])
     order = np.lexsort((doc_id, key))
     lost = np.zeros(len(window), bool)
     view = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
