@@ -76,6 +76,12 @@ def test_summarize_rules(gx):
     assert rows(gx >> v.summarize(a=(_.x - _.x.mean()).abs().sum())) == [(25.0,)]
 
 
+def test_raw_sql(mk):
+    df = mk([("a", 1), ("a", 2)], "x string, y long")
+    assert rows(df >> v.group_by(_.x) >> v.summarize(z=v.sql_raw("sum(y)"), w=v.sql_raw("max(y)") + 1)) == [("a", 3, 3)]
+    assert rows(df >> v.filter(v.sql_raw("y > 1")) >> v.mutate(z=v.sql_raw("y * 10") + _.y), "z") == [(22,)]
+
+
 def test_count_names_and_weights(mk):
     df = mk([(1, 3), (2, 3)], "x long, n long")
     assert (df >> v.count(_.n)).columns == ["n", "nn"]

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from verbena import expr as E
 
 HIDDEN = "__verbena_"
+ACCESSORS = ("str", "dt", "cat", "sparse")
 
 
 class TranslationError(NotImplementedError):
@@ -161,7 +162,7 @@ class Context:
             case E.Root():
                 return Term(registry.TABLE)
             case E.Raw():
-                return Term(F.expr(x.text), rows=True)
+                return Term(F.expr(x.text), aggregated=self.aggregating, rows=not self.aggregating)  # in summarize Spark checks the text
             case E.Attr(obj=E.Root(kind="_"), name=name):
                 return self.column(name)
             case E.Item(obj=E.Root(kind="_"), key=str(name)):
@@ -178,16 +179,13 @@ class Context:
             case E.Cases():
                 return self.cases(x)
             case E.Item():
-                if E.simple_name(x.obj) or True:
-                    from verbena.functions.registry import item
-
-                    return self.apply(item, (x.obj, x.key), {})
+                return self.apply(registry.item, (x.obj, x.key), {})
         raise self.error(f"can't translate {E.show(x)}")
 
     def method(self, x: E.Attr) -> tuple[str, Any]:
         """The registry name and object of ``obj.name`` or ``obj.str.name``."""
         obj = x.obj
-        if isinstance(obj, E.Attr) and obj.name in ("str", "dt", "cat", "sparse") and not isinstance(obj.obj, E.Root) or isinstance(obj, E.Attr) and obj.name in ("str", "dt", "cat", "sparse") and isinstance(obj.obj, E.Root) and obj.obj.kind == "Fx":
+        if isinstance(obj, E.Attr) and obj.name in ACCESSORS and not (isinstance(obj.obj, E.Root) and obj.obj.kind == "_"):
             return f"{obj.name}.{x.name}", obj.obj
         return x.name, obj
 
@@ -222,6 +220,7 @@ class Context:
         values = [self.value_of(t, inner_rows) for t in terms]
         keywords = {k: self.value_of(t, inner_rows) for k, t in named.items()}
         before = self.df
+        # an aggregate over the whole table is a joined column, not a window
         out = spec.impl(self, *values, **keywords)
         if spec.kind == "elwise":
             return Term(out, any(t.windowed for t in parts), any(t.aggregated for t in parts), any(t.rows for t in parts))
