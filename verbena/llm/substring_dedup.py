@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from verbena.llm.shared import BUCKETS_PER_PARTITION, FAMILIES, U64, answer, answers_by_batch, ask, batch_table, bucket_bounds, carried_of, expand_sorted, materialize, shuffle_partitions, spans_hash, squeeze_sorted, unpack, word_spans
+from verbena.llm.shared import BUCKETS_PER_PARTITION, FAMILIES, U64, answer, answers_by_batch, ask, batch_table, bucket_bounds, carried_of, expand_sorted, materialize, rising_spans_hash, shuffle_partitions, spans_hash, squeeze_sorted, unpack, word_spans
 
 WINDOW = 20
 NULL_ID = -(1 << 63)
@@ -55,7 +55,7 @@ def edges(lens: np.ndarray, body: bytes, key_bits: int = 64) -> Edges:
     starts, stops, doc = word_spans(data, np.cumsum(lens))
     n = max(0, len(starts) - WINDOW + 1)
     at = np.flatnonzero(doc[:n] == doc[len(doc) - n :]) if n else np.empty(0, np.int64)
-    words, checks = (spans_hash(data, starts, stops, FAMILIES[f][0]) for f in (0, 1))
+    words, checks = (rising_spans_hash(data, starts, stops, FAMILIES[f][0]) for f in (0, 1))
     key = spans_hash(words, at, at + WINDOW, FAMILIES[0][1])
     if key_bits < 64:  # tests force collisions
         key = key >> U64(64 - key_bits) << U64(64 - key_bits)
