@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from verbena.llm.shared import materialize
 
 ROUNDS, SCALINGS = 12, 8
+#: Rounds in one plan.
+ROUNDS_AT_ONCE = 4
 KEEP = 0.8
 #: A target share is the present share raised to this power and rescaled: below 1 it evens out.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
@@ -70,10 +72,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     for d in DIMENSIONS:
         at = at.join(targets[d].withColumnRenamed("target", f"{d}_target"), d)
     at = materialize(at.withColumn("share", F.col("tokens").cast("double")), "cells")
-    for _ in range(rounds):
+    for k in range(rounds):
         for d in DIMENSIONS:
             at = at.withColumn("share", F.col("share") * F.col(f"{d}_target") / F.sum("share").over(Window.partitionBy(d)))
-        at = materialize(at, "cells")  # cuts the lineage
+        if k % ROUNDS_AT_ONCE == ROUNDS_AT_ONCE - 1:
+            at = materialize(at, "cells")  # cuts the lineage
     return at.select(*DIMENSIONS, "tokens", "share")
 
 
