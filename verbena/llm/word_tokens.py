@@ -8,6 +8,7 @@ all others through the whole tokeniser. Texts with characters whose handling spa
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct words that a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 #: Texts are worked on in groups of about so many bytes.
 GROUP_BYTES = 2 << 20
 #: A letter run, lower case, with punctuation around it: what can be split without the tokeniser.
@@ -36,7 +37,7 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letters = byte_letters()
-        self.cache: dict[str, np.ndarray] = {}
+        self.cache: dict[str, bytes] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
 
     def part(self, piece: str) -> tuple[int, ...]:
@@ -49,7 +50,8 @@ class WordTokenizer:
             got = self.parts[piece] = tuple(x.id for x in self.model.tokenize(form))
         return got
 
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> bytes:
+        """A word's ids as unsigned 32-bit numbers."""
         low = word.lower()
         m = PLAIN.fullmatch(low)
         if m and len(low) == len(word) and "<|" not in low:
@@ -60,7 +62,7 @@ class WordTokenizer:
                 ids += self.part(m[3])
         else:
             ids = self.whole.encode(word, add_special_tokens=False).ids
-        return np.array(ids, np.uint32)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids_of(self, texts: pa.Array, end_token: int) -> Iterator[np.ndarray]:
         """The ids of each text and the end token."""
@@ -83,8 +85,8 @@ class WordTokenizer:
             if ids is None:
                 ids = cache[w] = self.word(w)
             table.append(ids)
-        lens = np.fromiter(map(len, table), np.int64, len(table))
-        pool = np.concatenate(table) if table else np.empty(0, np.uint32)
+        lens = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        pool = np.frombuffer(b"".join(table), "<u4")
         first = np.cumsum(lens) - lens
         code = flat.indices.to_numpy(zero_copy_only=False)
         each = lens[code]
