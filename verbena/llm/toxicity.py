@@ -236,30 +236,47 @@ def vocabulary_of(sample: DataFrame, max_terms: int) -> list[str]:
     return sorted(r["term"] for r in top.collect())  # at most `max_terms` rows
 
 
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term is, and how many documents there are."""
+def document_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, terms, counts) of every whole text, written once: frequencies and scores both read it."""
     vocabulary = {t: i for i, t in enumerate(terms)}
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Vectors(vocabulary)
+        for part in parts:
+            for at, texts in text_groups(part.column(1)):
+                v = own.of(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(at, len(v)), pa.array([t.astype(np.int32).tobytes() for t, _ in v], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in v], pa.binary())], ["doc_id", "terms", "counts"])
+
+    return materialize(documents_of(docs).mapInArrow(run, "doc_id long, terms binary, counts binary"), "term-vectors")
+
+
+def numbers(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int32).astype(np.int64) for x in column.to_pylist()]
+
+
+def document_frequencies(vectors: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term is, and how many documents there are."""
+
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, seen, n = Vectors(vocabulary), np.zeros(len(vocabulary) + 1, np.int64), 0
+        seen = np.zeros(n_terms + 1, np.int64)
         for part in parts:
-            for _, texts in text_groups(part.column(0)):
-                for term, _ in vectors.of(texts):
-                    seen[term] += 1
-                n += len(texts)
-        seen[-1] = n
+            for term in numbers(part.column(0)):
+                seen[term] += 1
+            seen[-1] += part.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], ["term", "n"])
 
-    out = np.zeros(len(terms) + 1, np.int64)
-    for r in documents_of(docs).select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each term
+    out = np.zeros(n_terms + 1, np.int64)
+    for r in vectors.select("terms").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each term
         out[r["term"]] = r["n"]
     return out[:-1], int(out[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> tuple[Model, DataFrame]:
+    """The model, and the term vectors of all documents."""
     sample, class_weight = labelled_sample(docs, labels, max_examples)
     terms = vocabulary_of(sample, max_terms)
-    frequency, n = document_frequencies(docs, terms)
+    everything = document_vectors(docs, terms)
+    frequency, n = document_frequencies(everything, len(terms))
     idf = np.log((n + 1) / (frequency + 1)) + 1
     vocabulary = {t: i for i, t in enumerate(terms)}
 
@@ -272,41 +289,39 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
 
     rows = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, terms binary, counts binary").collect()  # at most 2 * max_examples rows of max_terms numbers
     examples = [(r["doc_id"], r["toxic"], np.frombuffer(r["terms"], np.int64), np.frombuffer(r["counts"], np.int64)) for r in rows]
-    return Model(terms, idf, examples, class_weight)
+    return Model(terms, idf, examples, class_weight), everything
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, neighbours, terms) of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scored(everything: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score, neighbours, terms) from the term vectors of every whole text."""
+    shared = everything.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        vectors, known = Vectors({t: i for i, t in enumerate(m.terms)}), {}
+        m, known = shared.value, {}
         for part in parts:
-            for at, texts in text_groups(part.column(1)):
-                out = []
-                for term, count in vectors.of(texts):
-                    key = (term.tobytes(), count.tobytes())
-                    got = known.get(key)
-                    if got is None:
-                        if len(known) >= 20_000:
-                            known.clear()
-                        got = known[key] = m.score((term, count))
-                    out.append(got)
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(at, len(texts)), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.string()))], ["doc_id", "score", "neighbours", "terms"])
+            out = []
+            for key, term, count in zip(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True), numbers(part.column(1)), numbers(part.column(2)), strict=True):
+                got = known.get(key)
+                if got is None:
+                    if len(known) >= 20_000:
+                        known.clear()
+                    got = known[key] = m.score((term, count))
+                out.append(got)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.string()))], ["doc_id", "score", "neighbours", "terms"])
 
-    return documents_of(docs).mapInArrow(run, "doc_id long, score double, neighbours array<long>, terms array<string>")
+    return everything.mapInArrow(run, "doc_id long, score double, neighbours array<long>, terms array<string>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """Scores and verdicts of all documents, with evidence."""
-    found = scored(docs, fit(docs, labels, max_examples))
+    model, everything = fit(docs, labels, max_examples)
+    found = scored(everything, model)
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "terms")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text scores below 0.5."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_examples))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_examples)[0])
     place = docs.columns.index("text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
