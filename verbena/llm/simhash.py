@@ -95,7 +95,8 @@ def links(distinct: DataFrame) -> DataFrame:
     )
     coded = company.select("fp", F.explode(codes("fp")).alias("code"))
     least = coded.groupBy("code").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").select("code", "a")
-    return coded.join(least, "code").filter("fp != a").select("a", F.col("fp").alias("b")).distinct()
+    # a merge join: the planner takes exploded rows for as small as their source and would broadcast them
+    return coded.hint("merge").join(least, "code").filter("fp != a").select("a", F.col("fp").alias("b")).distinct()
 
 
 def placed_fingerprints(prints: DataFrame, least: F.Column) -> DataFrame:
