@@ -1,5 +1,5 @@
-"""The training-corpus pipeline: reject toxic documents, keep one of each near-duplicate group, cut long repeats, mix the
-sources to target weights, pack the tokens into sequences.
+"""The training-corpus pipeline: reject toxic documents, keep one of each near-duplicate group, then one of each group of
+near copies, cut long repeats, mix the sources to target weights, pack the tokens into sequences.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept. All but the last return the
 columns of ``documents``.
@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from verbena.llm.mixing import mix_documents
+from verbena.llm.near_copies import one_of_near_copies
 from verbena.llm.packing import pack
 from verbena.llm.queries import read, tokenizer_file
 from verbena.llm.shared import materialize
@@ -29,8 +30,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without words covered by 20-word windows that start earlier; wholly covered ones go."""
-    return without_repeats(docs)
+    """One document of each group with 5-word Jaccard similarity 0.8 or more (SimHash leaves most such pairs), without words
+    covered by 20-word windows that start earlier; wholly covered ones go."""
+    return without_repeats(materialize(one_of_near_copies(docs), "near-copies"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

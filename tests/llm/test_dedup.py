@@ -184,3 +184,65 @@ def test_odd_tables(spark, run):
         assert run(df).count() == df.count(), name
     twice = collect(suffix_dedup.suffix_dedup(odd_frames(spark)[2][1]), "doc_id", "n_removed")
     assert twice == [(7, 0)] * 3  # equal ids are not smaller than each other
+
+
+def near_copy_texts():
+    """Texts with one to five words changed, chains of such, copies, shorts and empties."""
+    rng = np.random.default_rng(11)
+    texts = [*corpus(12), "a b c", "A  b\tc", "a b c d", None, ""]
+    for k in range(25):
+        words = [f"k{k}x{i}" for i in rng.integers(0, 400, 90)]
+        for _ in range(3):
+            texts.append(" ".join(words))
+            for i in rng.integers(0, len(words), int(rng.integers(1, 4))):
+                words[i] = f"new{rng.integers(0, 1 << 30)}"
+    return texts
+
+
+def slow_shingles(text: str | None) -> frozenset:
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def slow_copies(texts: dict) -> dict:
+    """doc_id to the least doc_id that is reachable over pairs of Jaccard similarity 0.8 or more."""
+    own = {i: slow_shingles(t) for i, t in texts.items()}
+    root = {i: i for i in own}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(sorted(own), 2):
+        a, b = own[i], own[j]
+        if a == b or len(a & b) >= 0.8 * len(a | b):
+            i, j = find(i), find(j)
+            root[max(i, j)] = min(i, j)
+    return {i: find(i) for i in own}
+
+
+def test_near_copies_are_all_found(spark):
+    from verbena.llm import near_copies
+
+    texts = near_copy_texts()
+    want = slow_copies(dict(enumerate(texts)))
+    docs = frame(spark, texts)
+    out = near_copies.one_of_near_copies(docs)
+    assert out.columns == docs.columns
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(want.values()))
+    assert len(set(want.values())) < simhash.one_of_each(docs).count()  # two bits leave some of them
+    for name, df in odd_frames(spark):
+        assert near_copies.one_of_near_copies(df).count() <= df.count(), name
+
+
+def test_pipeline_keeps_no_near_copies(spark):
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 120)]
+    copy = base[:60] + ["changed"] + base[61:]
+    docs = frame(spark, [" ".join(base), " ".join(copy), "other words altogether here now"])
+    left = p.keep_one_of_each(spark, docs, "")
+    assert left.count() == 3  # over two bits apart
+    assert sorted(r["doc_id"] for r in p.cut_repeats(spark, left, "").collect()) == [0, 2]

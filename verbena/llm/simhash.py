@@ -123,6 +123,11 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> Da
     prints = materialize(fingerprints(docs, shingle, seed, with_hash=True), "fingerprints")
     placed = placed_fingerprints(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
     best = placed.groupBy("root").agg(F.min("least").alias("least"))
+    return rows_of_least(docs, prints, best)
+
+
+def rows_of_least(docs: DataFrame, prints: DataFrame, best: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``least`` (doc_id and text hash) of ``best``; ``prints`` has both of every row."""
     chosen = best.select("least.doc_id", "least.hash")
     times = prints.groupBy("doc_id", "hash").agg(F.count("*").alias("times")).withColumnsRenamed({"doc_id": "__d", "hash": "__h"})
     wanted = chosen.join(times, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("hash") == F.col("__h"))).select("__d", "__h", "times")
