@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verbena.llm.mixing import mix_documents
+from verbena.llm.mixing import mix_copies
 from verbena.llm.near_copies import one_of_near_copies
 from verbena.llm.packing import pack
 from verbena.llm.queries import read, tokenizer_file
@@ -36,8 +36,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose token weights are raked to the targets of source, language and topic."""
-    return mix_documents(docs)
+    """A sample whose token weights are raked to the targets of source, language and topic; scarce kinds come more than once."""
+    return mix_copies(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

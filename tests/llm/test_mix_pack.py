@@ -130,6 +130,32 @@ def test_mixing_keeps_columns_and_expectation(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_copies_meet_the_targets(spark):
+    documents = spark.createDataFrame(mixed_rows(2, 6000), SCHEMA)
+    cells = mixing.features(documents).groupBy(*mixing.DIMENSIONS).agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "tokens")
+    targets = {d: {r[0]: r[1] for r in t.collect()} for d, t in mixing.tempered_targets(cells).items()}
+
+    def gap(sample):
+        rows = mixing.features(sample).collect()
+        total = sum(r["n_tokens"] for r in rows)
+        return max(abs(sum(r["n_tokens"] for r in rows if r[d] == k) / total - x) for d in targets for k, x in targets[d].items())
+
+    copies = mixing.mix_copies(documents)
+    assert copies.columns == documents.columns
+    assert gap(copies) < 0.02 < gap(mixing.mix_documents(documents))
+    tokens = lambda d: mixing.features(d).agg({"n_tokens": "sum"}).first()[0]
+    assert abs(tokens(copies) / tokens(documents) - mixing.KEEP) < 0.04
+    for _, df in odd_frames(spark):
+        assert set(mixing.mix_copies(df).collect()) <= set(df.collect())
+
+
+def test_pipeline_mixing_meets_the_targets(spark):
+    import corpus_pipeline as p
+
+    documents = spark.createDataFrame(mixed_rows(2, 3000), SCHEMA)
+    assert sorted(p.mix_sources(spark, documents, "").collect(), key=str) == sorted(mixing.mix_copies(documents).collect(), key=str)
+
+
 def test_odd_tables(spark):
     for name, df in odd_frames(spark):
         assert packing.pack(df, WORDS).select("doc_id").count() == df.count(), name

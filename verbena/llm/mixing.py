@@ -4,7 +4,8 @@ Token weights are summed to cells of source, language and topic (partial sums fi
 rows sends a few cells). Raking scales the cells to the target share of each source, language and topic in turn,
 ``ROUNDS`` times. A cell's sampling rate is its raked share over its tokens, scaled so that the expected sample has
 ``KEEP`` of all tokens (rates above 1 are cut and their surplus is dealt to the others). A document stays if a hash of its
-id, as a number from 0 to 1, lies below its cell's rate.
+id, as a number from 0 to 1, lies below its cell's rate. Where rates are cut the sample misses the targets; ``mix_copies``
+does not cut: a rate of 2.3 gives two copies, and a third if the hash lies below 0.3.
 
 Defined cases: a null source or language is its own group, named ``unknown``; a null or empty text weighs one token; rows with
 one doc_id stay or go together; a null doc_id hashes like a word; an empty table gives an empty table; further
@@ -80,12 +81,14 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return at.select(*DIMENSIONS, "tokens", "share")
 
 
-def rates(raked: DataFrame, keep: float = KEEP, scalings: int = SCALINGS) -> DataFrame:
-    """``rate`` of each cell: its raked share over its tokens, scaled to ``keep`` of all tokens and cut at 1."""
+def rates(raked: DataFrame, keep: float = KEEP, scalings: int = SCALINGS, cut_at_one: bool = True) -> DataFrame:
+    """``rate`` of each cell: its raked share over its tokens, scaled to ``keep`` of all tokens and cut at 1 unless told not to."""
     at = materialize(raked.withColumn("factor", F.col("share") / F.col("tokens")), "factors")
     tokens, share = at.agg(F.sum("tokens"), F.sum("share")).first()
     wanted = float(tokens or 0) * keep
     scale = wanted / share if share else 0.0
+    if not cut_at_one:
+        return at.select(*DIMENSIONS, (F.col("factor") * F.lit(scale)).alias("rate"))
     for _ in range(scalings):  # a sum over the cells each time
         cut = F.col("factor") * F.lit(scale) >= 1
         full, left = at.agg(F.sum(F.when(cut, F.col("tokens")).otherwise(0)), F.sum(F.when(cut, 0.0).otherwise(F.col("share")))).first()
@@ -99,10 +102,10 @@ def unit_hash(doc_id: str = "doc_id") -> Column:
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def sampling_rates(found: DataFrame, keep: float = KEEP) -> DataFrame:
+def sampling_rates(found: DataFrame, keep: float = KEEP, cut_at_one: bool = True) -> DataFrame:
     """(source, lang, topic, rate) from the features of all documents."""
     cells = materialize(found.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    return materialize(rates(rake(cells, tempered_targets(cells)), keep), "rates")
+    return materialize(rates(rake(cells, tempered_targets(cells)), keep, cut_at_one=cut_at_one), "rates")
 
 
 def mix_sample(docs: DataFrame, keep: float = KEEP) -> DataFrame:
@@ -113,11 +116,23 @@ def mix_sample(docs: DataFrame, keep: float = KEEP) -> DataFrame:
 
 def mix_documents(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     """The documents that stay, all columns as they are."""
-    rate = sampling_rates(features(docs), keep).select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("rate").alias("__rate"))
+    return with_rates(docs, keep).filter(unit_hash() < F.col("__rate")).select(*docs.columns)
+
+
+def mix_copies(docs: DataFrame, keep: float = KEEP) -> DataFrame:
+    """As many copies of each document as its rate says, all columns as they are: the sample meets the raked targets."""
+    whole = F.floor("__rate")
+    times = (whole + (unit_hash() < F.col("__rate") - whole).cast("long")).alias("__times")
+    rated = with_rates(docs, keep, cut_at_one=False).select(*docs.columns, times).filter("__times > 0")
+    return rated.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
+
+
+def with_rates(docs: DataFrame, keep: float, cut_at_one: bool = True) -> DataFrame:
+    """All documents with the rate of their cell as ``__rate``."""
+    rate = sampling_rates(features(docs), keep, cut_at_one).select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("rate").alias("__rate"))
     tokens = token_weight(F.col("text"))
     own = docs.withColumns({"__s": F.coalesce("source", F.lit("unknown")), "__l": F.coalesce("lang", F.lit("unknown")), "__t": topic_of(F.col("text"), tokens)})
-    joined = own.join(rate, (F.col("__s") == F.col("__source")) & (F.col("__l") == F.col("__lang")) & (F.col("__t") == F.col("__topic")))
-    return joined.filter(unit_hash() < F.col("__rate")).select(*docs.columns)
+    return own.join(rate, (F.col("__s") == F.col("__source")) & (F.col("__l") == F.col("__lang")) & (F.col("__t") == F.col("__topic")))
 
 
 def mix_sql(keep: float = KEEP, rounds: int = ROUNDS, scalings: int = SCALINGS, table: str = "documents") -> str:
