@@ -83,6 +83,22 @@ def test_hosts_agree_on_a_path(spark):
         html_extract.BROADCAST_BYTES = html_extract_bytes
 
 
+def test_text_beside_the_winning_path(spark):
+    """Headlines, leads and sections of an article outside the winning container stay; lists of links do not join."""
+    body = "<p>" + "body words " * 40 + "</p>"
+    lead = f"<html><body><article><h1>Headline</h1><p>The lead.</p><div class=body>{body}</div></article><p>elsewhere</p></body></html>"
+    parts = f"<html><body><main><section class=intro><p>The intro.</p></section><section class=body>{body}</section></main></body></html>"
+    links = f"<html><body><main><article><div class=body>{body}</div></article><ul><li><a href=/1>First link of many</a><li><a href=/2>Second link</a></ul></main></body></html>"
+    pages = [(3 * i + k, f"http://{k}.example/{i}", page) for i in range(3) for k, page in enumerate((lead, parts, links))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(df).collect()}
+    words = ("body words " * 40).strip()
+    for i in range(3):
+        assert got[3 * i] == f"Headline\n\nThe lead.\n\n{words}"
+        assert got[3 * i + 1] == f"The intro.\n\n{words}"
+        assert got[3 * i + 2] == words
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=20_000))
 def test_media_round_trip(data):

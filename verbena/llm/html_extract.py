@@ -5,7 +5,9 @@ above; link text counts against it, and names of menus, adverts, comments and th
 A container's generalised path is its chain of tags and class names, with digits wiped out. The scores are the pages'
 votes, summed in Spark for each host and path (partial sums first, so a large host sends few rows). Then every page is
 read again and the text of the elements on its host's winning path is taken; a page without such an element, or with
-no text there, falls back on its own best container, then on its body.
+no text there, falls back on its own best container, then on its body. A path inside an article or main
+element is lifted to the outermost such element whose further text is mostly no links, so that headlines, leads and
+sections beside the winner stay.
 
 Defined cases: null or empty html gives an empty text; a null or odd url belongs to the empty host; repeated
 rows vote and are extracted apiece; ties between paths go to the longer, then the lesser path; unclosed tags end where
@@ -33,6 +35,8 @@ ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Text is mostly no links if it is longer than so many times its linked part.
+MOST_LINKED = 2
 #: Paths grow no further below this depth, so that deep nesting stays cheap.
 MAX_DEPTH = 64
 CONTAINERS = frozenset("article body div main section td".split())
@@ -218,18 +222,35 @@ def within(element: Element, path: str) -> bool:
     return False
 
 
+def lifted(found: list[tuple[Block, str]], path: str) -> str:
+    """The path of the outermost article or main element above ``path`` that adds text, most of it outside links."""
+    inside = next((b.element for b, _ in found if within(b.element, path)), None)
+    while inside is not None and inside.path != path:
+        inside = inside.parent
+    best = path
+    while inside is not None:
+        if inside.tag in ("article", "main") and inside.path != path:
+            added = [b for b, _ in found if within(b.element, inside.path) and not within(b.element, best)]
+            size = sum(len(p) for b in added for p in b.parts)
+            if size > MOST_LINKED * sum(b.linked for b in added):
+                best = inside.path
+        inside = inside.parent
+    return best
+
+
 def extract(page: str | None, path: str | None) -> tuple[str, str | None]:
     """(text, path used): the winning path's text, or that of the page's own best container, or of all its parts."""
     if not page:
         return "", None
     found = [(b, t) for b in blocks_of(page) if wanted(b) and (t := text_of(b))]
     if path:
+        path = lifted(found, path)
         text = "\n\n".join(t for b, t in found if within(b.element, path))
         if text:
             return text, path
     _, scores = container_scores(page)
     if scores:
-        own = max(scores, key=lambda p: (scores[p], len(p), p))
+        own = lifted(found, max(scores, key=lambda p: (scores[p], len(p), p)))
         text = "\n\n".join(t for b, t in found if within(b.element, own))
         if text:
             return text, own
