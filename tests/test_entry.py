@@ -53,3 +53,12 @@ def test_import_without_the_optional_parts(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     run = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "HOME": "/tmp"})
     assert run.stdout.split() == [str(len(QUERIES)), str(len(SQL))], run.stderr
+
+
+WHOLE = {"select_predicates": ("lineitem", 1), "raw_sql": ("orders", 1), "join_right_self": ("customer", 1), "gather_long": ("lineitem", 2), "pivot_longer_value": ("lineitem", 2), "user_functions": ("orders", 1)}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole_tables_are_read(spark, con, name):
+    table, times = WHOLE[name]
+    assert QUERIES[f"{name}_whole"](spark, SF).count() == times * con.sql(f"SELECT count(*) FROM {table}").fetchall()[0][0]

@@ -491,3 +491,66 @@ def ntile_parts(t):
     return t.events >> v.transmute(_.event_id, part=big(v.ntile(_.event_id, 4)))
 
 
+
+
+# --- whole tables: the verbs whose queries above read a subset ----------------------------------------
+
+@query("SELECT l_extendedprice, l_discount, l_tax FROM lineitem")
+def select_predicates_whole(t):
+    return t.lineitem >> v.select(_.contains("price|discount"), _.endswith("tax"))
+
+
+@query("SELECT o_orderkey, length(o_orderpriority)::BIGINT AS len, o_totalprice * 2 AS dbl FROM orders")
+def raw_sql_whole(t):
+    return t.orders >> v.transmute(_.o_orderkey, len=v.sql_raw("cast(length(o_orderpriority) as bigint)"), dbl=v.sql_raw("o_totalprice * 2"))
+
+
+@query("SELECT r.c_custkey, l.c_name AS c_name_x, r.c_name AS c_name_y FROM customer l RIGHT JOIN customer r ON l.c_custkey = r.c_custkey")
+def join_right_self_whole(t):
+    own = t.customer >> v.select(_.c_custkey, _.c_name)
+    return own >> v.right_join(own, "c_custkey")
+
+
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, n_chars, quality::BIGINT AS quality FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
+def join_full_whole(t):
+    return t.documents >> v.full_join(t.labels, "doc_id") >> v.transmute(_.doc_id, _.n_chars, quality=big(_.quality))
+
+
+@query("SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_extendedprice < o_totalprice")
+def join_theta_whole(t):
+    return v.inner_join(t.lineitem, t.orders, sql_on=lambda a, b: (a.l_orderkey == b.o_orderkey) & (a.l_extendedprice < b.o_totalprice)) >> v.select(_.l_orderkey, _.l_linenumber, _.o_custkey)
+
+
+@query("SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0 EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def set_intersect_except_whole(t):
+    pos = t.customer >> v.filter(_.c_acctbal > 0) >> v.transmute(k=_.c_custkey)
+    pending = t.orders >> v.filter(_.o_orderstatus == "P") >> v.transmute(k=_.o_custkey)
+    return (t.orders >> v.transmute(k=_.o_custkey)) >> v.intersect(pos) >> v.setdiff(pending)
+
+
+@query("UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem) ON l_quantity, l_discount INTO NAME key VALUE value")
+def gather_long_whole(t):
+    return t.lineitem >> v.select(_.l_orderkey, _.l_linenumber, _.l_quantity, _.l_discount) >> v.gather("key", "value", _.l_quantity, _.l_discount)
+
+
+@query("SELECT l_orderkey, l_linenumber, 'a' AS part, l_quantity AS x, l_tax AS y FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'b', l_extendedprice, l_discount FROM lineitem")
+def pivot_longer_value_whole(t):
+    return t.lineitem >> v.transmute(_.l_orderkey, _.l_linenumber, x_a=_.l_quantity, y_a=_.l_tax, x_b=_.l_extendedprice, y_b=_.l_discount) >> v.pivot_longer(-_["l_orderkey", "l_linenumber"], names_to=[".value", "part"], names_sep="_")
+
+
+@query("SELECT vec_id, unnest(embedding)::DOUBLE AS embedding FROM embeddings")
+def unnest_array_whole(t):
+    return t.embeddings >> v.select(_.vec_id, _.embedding) >> v.unnest("embedding") >> v.mutate(embedding=_.embedding.astype("float"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice / 1000, 3) AS k FROM orders")
+def user_functions_whole(t):
+    @v.column_function("elwise")
+    def in_thousands(c, x):
+        return x / 1000
+
+    @v.verb
+    def all_orders(x):
+        return x >> v.filter(_.o_orderkey.notna())
+
+    return v.pipe(t.orders, all_orders(), v.call(lambda d: d >> v.transmute(_.o_orderkey, k=in_thousands(_.o_totalprice).round(3))))
