@@ -175,3 +175,11 @@ def test_casts(spark):
     assert out.to_spark().dtypes == [("s", "string"), ("i", "bigint"), ("f", "double"), ("b", "boolean")]
     with pytest.raises(ValueError):
         df >> v.mutate(o=_.y.astype("category"))
+
+
+def test_unused_categories_of_a_wide_column(spark):
+    """A level that is used stays, however many other values the column has."""
+    df = spark.range(150_000).selectExpr("cast(id AS string) AS x")
+    levels = [str(i) for i in range(0, 150_000, 5_000)] + ["never"]
+    t = v.tbl(df.withMetadata("x", {"levels": levels})) >> v.mutate(x=_.x.cat.remove_unused_categories())
+    assert t.to_spark().schema["x"].metadata["levels"] == levels[:-1]

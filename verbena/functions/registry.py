@@ -488,5 +488,6 @@ def _rename_categories(c, x, new):
 
 @elwise("cat.remove_unused_categories")
 def _remove_unused(c, x):
-    seen = {r[0] for r in c.df.select(lit(x)).distinct().limit(100_000).collect()}  # a row for each level
-    return releveled(x, [v for v in factor_levels(c, x) if v in seen])
+    own = factor_levels(c, x)
+    seen = {r[0] for r in c.df.select(lit(x).alias("x")).filter(F.col("x").isin(*own)).distinct().collect()}  # a row for each level
+    return releveled(x, [v for v in own if v in seen])
