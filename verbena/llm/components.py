@@ -17,20 +17,21 @@ def connected_components(links: DataFrame) -> DataFrame:
     node hangs on its root. A round is written to the shared folder, so lost executors cost one round.
     """
     edges = materialize(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = edges.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
+    n = edges.count()
     for _ in range(MAX_ROUNDS):
-        if not mark["n"]:
+        if not n:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        # the least neighbours are written: then both sides of the merge join are plain shuffles, and a hub is split
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least-neighbours")
+        hung = both.filter("v > u").hint("merge").join(least, "u")
+        large = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(floor, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
-        edges = materialize(small, "links")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
-        if now == mark:
+        before, edges = (edges, n), materialize(small, "links")
+        n = edges.count()
+        if n == before[1] and edges.join(before[0], ["u", "v"], "left_anti").isEmpty():
             break
-        mark = now
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

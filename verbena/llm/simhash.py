@@ -2,10 +2,13 @@
 
 A 64-bit fingerprint is cut into two segments of 32 bits. Of two fingerprints that differ in at most two
 bits, one segment differs in at most one bit; so they share a signature: a segment with one bit wiped out.
-The signatures (64 for each distinct fingerprint) are dealt by value; a fingerprint alone in all its
-signatures has no partner. Those with company are equality-joined on the exact codes within one bit of them:
-two fingerprints share such a code if and only if they differ in two bits or fewer, which verifies each link.
-Every code links its fingerprints to its smallest one, so links grow with the rows, never with their pairs.
+The signatures (64 for each distinct fingerprint) are counted, those of one fingerprint alone go, and the others'
+fingerprints are equality-joined on the signature and verified by their differing bits.
+
+A signature of more than ``CROWD`` fingerprints would give pairs that grow with its square. Its members are linked by the
+variants of both segments at once: the exact codes within one bit of a fingerprint. Two fingerprints share a code if and only
+if they differ in two bits or fewer, so each code links its fingerprints to its smallest one; no link is lost, and links grow
+with the rows.
 
 Defined cases: null or empty texts have fingerprint zero and link like any other; a text of one or two words
 is hashed whole; repeated rows each get a row; a null ``doc_id`` takes part but never names a component unless
@@ -29,6 +32,8 @@ SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
 SEGMENTS, SEGMENT_BITS = 2, 32
+#: Fingerprints of one signature that are compared in pairs; larger groups are split by their exact codes.
+CROWD = 64
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -84,19 +89,28 @@ def codes(fp: str) -> F.Column:
     return F.array(F.col(fp), *[F.col(fp).bitwiseXOR(F.lit(b)) for b in signed])
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def signature_pairs(members: DataFrame) -> DataFrame:
+    """(a, b): the fingerprints that share a signature and differ in ``MAX_BITS`` bits at most, by an equality join."""
+    other = members.select("sig", F.col("fp").alias("b"))
+    both = members.select("sig", F.col("fp").alias("a")).hint("merge").join(other, "sig")
+    return both.filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
+
+
+def hot_stars(members: DataFrame) -> DataFrame:
+    """(a, b) for fingerprints of crowded signatures: the other segment's variants are wiped too, which leaves the exact codes
+    within one bit. All fingerprints of a code are within ``MAX_BITS`` of each other, so each is linked to the code's least one."""
+    coded = members.select("fp").distinct().select("fp", F.explode(codes("fp")).alias("code"))
+    least = materialize(coded.groupBy("code").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").select("code", "a"), "code-stars")
+    # merge joins, here and above: their hot keys are split, and exploded rows are not taken for as small as their source
+    return coded.hint("merge").join(least, "code").filter("fp != a").select("a", F.col("fp").alias("b"))
+
+
+def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(a, b): links between different fingerprints within two bits, enough to connect all that are connected."""
-    own = Window.partitionBy("sig").orderBy("fp")
-    company = materialize(
-        distinct.select("fp", F.explode(signatures("fp")).alias("sig"))
-        .select("fp", (F.lag("fp").over(own).isNotNull() | F.lead("fp").over(own).isNotNull()).alias("shared"))
-        .filter("shared").select("fp").distinct(),
-        "company",
-    )
-    coded = company.select("fp", F.explode(codes("fp")).alias("code"))
-    least = coded.groupBy("code").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter("a < z").select("code", "a")
-    # a merge join: the planner takes exploded rows for as small as their source and would broadcast them
-    return coded.hint("merge").join(least, "code").filter("fp != a").select("a", F.col("fp").alias("b")).distinct()
+    dealt = distinct.select("fp", F.explode(signatures("fp")).alias("sig"))
+    shared = materialize(dealt.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1"), "shared-signatures")
+    members = materialize(dealt.hint("merge").join(shared, "sig").select("sig", "fp", "n"), "signature-groups")
+    return signature_pairs(members.filter(F.col("n") <= crowd)).unionByName(hot_stars(members.filter(F.col("n") > crowd))).distinct()
 
 
 def placed_fingerprints(prints: DataFrame, least: F.Column) -> DataFrame:
