@@ -1,26 +1,28 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-case words and their first four, five and six letters. The vocabulary holds the terms whose share of
-labelled texts differs most between the labels (chi-squared, at most ``MAX_TERMS``); document frequencies cover all
-documents. Examples lie in blocks of ``BLOCK``; for each term and block the index keeps the greatest weight, whose sums
-bound every cosine in the block. A query visits blocks from the greatest bound on and stops when no bound left reaches
-its k-th best cosine, so the neighbours are exact. Neighbours vote with weights that rise as the distance falls, and
-isotonic regression on leave-one-out votes of the examples makes the vote a calibrated probability; the neighbours
-and shared terms are the evidence.
+Terms are lower-case words without the punctuation around them. A term weighs (1 + log count) times its inverse document
+frequency, which covers all documents, times ``FLOOR`` plus its tie to the label among the examples (the root of what its
+chi-squared exceeds chance by, over the number of examples): every term of every example counts, ties only weigh more.
+Terms that no example has weigh ``FLOOR`` at the greatest inverse frequency and enter a text's norm alone.
+
+Examples lie in blocks of ``BLOCK``. A query reads the postings of its short lists whole; of the terms in more than
+``LONG_LIST`` examples it first reads the greatest weight in each block. Blocks whose bound (the best sum so far and those greatest
+weights) can't reach the k-th best sum are left, the others' long lists are read, so the neighbours are exact. Neighbours vote with
+weights that rise as the distance falls, and isotonic regression on leave-one-out votes of the examples makes the vote a
+calibrated probability; the neighbours and heaviest terms are the evidence.
 
 The examples are a bounded sample, ``MAX_EXAMPLES`` for each label in hash order, weighted back to the labels' true
 shares; label rows with crc32(doc_id) mod 5 = 0 are held out and never read. The label, language, source
 and id are never inputs of a score.
 
-Defined cases: a null or empty text, or one without vocabulary terms, has no neighbour and gets the examples' calibrated
-share for such texts; null labels are ignored; a doc_id labelled more than once counts as toxic if any row says so;
-without any example all scores are 0; a null doc_id is scored and not held out; repeated rows are scored apiece;
-further columns are ignored.
+Defined cases: a null or empty text, or one that shares no term with an example, has no neighbour and gets the share of toxic
+examples; null labels are ignored; a doc_id labelled more than once counts as toxic if any row says so;
+without any example all scores are 0; a null doc_id is scored and not held out; repeated rows are scored apiece; a very long text
+is read whole, in one piece; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,110 +34,116 @@ from pyspark.sql import functions as F
 from verbena.llm.shared import documents_of, joined, materialize, text_groups, word_codes, word_spans
 
 FOLDS = 5
-MAX_EXAMPLES, MAX_TERMS = 4000, 4096
-#: Least chi-squared of a vocabulary term (one in a million by chance) and fewest labelled texts with it.
-MIN_CHI2, MIN_TEXTS = 24.0, 3
-PREFIXES = (4, 5, 6)
-NEIGHBOURS, BLOCK, FIRST_BLOCKS = 15, 64, 4
+MAX_EXAMPLES = 4000
+#: Weight of a term without a tie to the label, and the chi-squared that is put down to chance.
+FLOOR, CHANCE = 0.05, 8.0
+NEIGHBOURS, BLOCK, LONG_LIST = 15, 64, 128
 #: Votes that stand for no neighbour: a text with one faint neighbour leans on this.
 PRIOR_WEIGHT = 0.05
-CACHE_WORDS = 300_000
+#: Terms whose counts travel in one row, and different texts' scores that a worker remembers.
+CHUNK_TERMS, KNOWN = 1 << 13, 20_000
 EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "¡¿«»„“”‘’…–—"
 
 
-def terms_of(word: bytes) -> list[str]:
-    w = word.decode("utf-8", "replace").lower().strip(EDGE)
-    return [w, *(f"{w[:n]}*" for n in PREFIXES if len(w) > n)] if w else []
-
-
 def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0, F.lit(False))
 
 
+def normal_words(dictionary: pa.Array) -> pa.Array:
+    """The terms that words stand for: lower case, without punctuation at the ends; those of punctuation alone are empty."""
+    return pc.utf8_lower(pc.utf8_trim(dictionary.cast(pa.string()), characters=EDGE))
+
+
+def term_counts(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, text, term of it, count) of the different terms of each text, texts rising."""
+    body, ends = joined(texts)
+    starts, stops, doc = word_spans(body, ends)
+    coded = word_codes(body, starts, stops)
+    normal = normal_words(coded.dictionary).dictionary_encode()
+    term = normal.indices.to_numpy(zero_copy_only=False).astype(np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+    none = pc.index(normal.dictionary, "").as_py()
+    some = term != none
+    key, count = np.unique(doc[some] << 32 | term[some], return_counts=True)
+    return normal.dictionary, key >> 32, key & 0xFFFFFFFF, count
+
+
 class Vectors:
-    """Term counts of texts over a vocabulary; words are looked up once for a worker."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.cache = vocabulary, {}
-
-    def word(self, word: bytes) -> tuple[int, ...]:
-        got = self.cache.get(word)
-        if got is None:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            got = self.cache[word] = tuple(i for i in map(self.vocabulary.get, terms_of(word)) if i is not None)
-        return got
-
-    def of(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(term, count) of each text, terms rising."""
-        body, ends = joined(texts)
-        starts, stops, doc = word_spans(body, ends)
-        coded = word_codes(body, starts, stops)
-        found = [self.word(w) for w in coded.dictionary.to_pylist()]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        code = coded.indices.to_numpy(zero_copy_only=False)
-        some = np.flatnonzero(size[code] > 0) if len(code) else np.empty(0, np.int64)
-        pool = np.array([i for x in found for i in x], np.int64)
-        each = size[code[some]]
-        first = (np.cumsum(size) - size)[code[some]]
-        term = pool[np.repeat(first - (np.cumsum(each) - each), each) + np.arange(each.sum())]
-        key, count = np.unique(np.repeat(doc[some], each) << 32 | term, return_counts=True)
-        cut = np.searchsorted(key, np.arange(len(texts) + 1) << 32)
-        return [(key[a:b] & 0xFFFFFFFF, count[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-
-
-def weigh(vector: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    term, count = vector
-    w = (1 + np.log(count)) * idf[term]
-    return term, w / np.sqrt(w @ w) if len(w) else w
+    """Term counts of texts over a vocabulary, and what else the texts hold."""
+
+    def __init__(self, vocabulary: pa.Array):
+        self.vocabulary = vocabulary
+
+    def of(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """(term, count, strangers) of each text, terms rising; strangers is the sum of (1 + log count)**2 of its other terms."""
+        terms, doc, term, count = term_counts(texts)
+        place = pc.fill_null(pc.index_in(terms, value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)[term]
+        strange = place < 0
+        others = np.bincount(doc[strange], (1 + np.log(count[strange])) ** 2, len(texts))
+        doc, place, count = doc[~strange], place[~strange], count[~strange]
+        order = np.lexsort((place, doc))
+        cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+        place, count = place[order], count[order]
+        return [(place[a:b], count[a:b], x) for a, b, x in zip(cut[:-1].tolist(), cut[1:].tolist(), others.tolist(), strict=True)]
+
+
+def weigh(vector: tuple[np.ndarray, np.ndarray, float], scale: np.ndarray, strange: float) -> tuple[np.ndarray, np.ndarray]:
+    """The known part of a text's vector of length one."""
+    term, count, others = vector
+    w = (1 + np.log(count)) * scale[term]
+    return term, w / max(1e-12, np.sqrt(w @ w + others * strange**2))
 
 
 class BlockMaxIndex:
-    """Weighted examples in blocks, with the greatest weight of each term in each block."""
+    """Weighted examples in blocks, with the greatest weight of each long list in each block."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, long_list: int = LONG_LIST):
         n = len(vectors)
         self.n, self.blocks = n, -(-n // BLOCK)
         example = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
         term = np.concatenate([t for t, _ in vectors]) if n else np.empty(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if n else np.empty(0)
-        cell = term * max(1, self.blocks) + example // BLOCK
-        order = np.lexsort((example, cell))
-        self.example, self.weight, cell = example[order], weight[order], cell[order]
-        self.start = np.searchsorted(cell, np.arange(n_terms * max(1, self.blocks) + 1))
-        self.most = np.zeros((n_terms, max(1, self.blocks)))
-        np.maximum.at(self.most.ravel(), cell, self.weight)
-
-    def cosines(self, term: np.ndarray, weight: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """Cosines of the examples in the live blocks, 0 elsewhere."""
-        total = np.zeros(self.blocks * BLOCK)
-        for t, w in zip(term.tolist(), weight.tolist(), strict=True):
-            a, b = self.start[t * self.blocks], self.start[(t + 1) * self.blocks]
-            example = self.example[a:b]
+        order = np.lexsort((example, term))
+        self.example, self.weight = example[order].astype(np.int32), weight[order]
+        self.start = np.searchsorted(term[order], np.arange(n_terms + 1))
+        size = np.diff(self.start)
+        long = np.flatnonzero(size > long_list)
+        self.row = np.full(n_terms, -1, np.int32)  # a long list's row in ``most``
+        self.row[long] = np.arange(len(long))
+        row, most = self.row[term], np.zeros((len(long), max(1, self.blocks)))
+        own = row >= 0
+        np.maximum.at(most, (row[own], example[own] // BLOCK), weight[own])
+        self.most = most
+
+    def add(self, total: np.ndarray, term: np.ndarray, weight: np.ndarray, live: np.ndarray | None = None) -> None:
+        """Add the terms' products to the sums, of the examples in the live blocks only."""
+        size = self.start[term + 1] - self.start[term]
+        at = np.repeat(self.start[term] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        example, product = self.example[at], np.repeat(weight, size) * self.weight[at]
+        if live is not None:
             keep = live[example // BLOCK]
-            total[example[keep]] += w * self.weight[a:b][keep]
-        return total
+            example, product = example[keep], product[keep]
+        total += np.bincount(example, product, len(total))
 
     def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine above 0 (ties: the earlier example), without example ``skip``.
-
-        The blocks of greatest bound give a first k-th best; then all blocks whose bound reaches it are read.
-        """
+        """The k examples of greatest cosine above 0 (ties: the earlier example), without example ``skip``."""
         term, weight = query
         if not len(term) or not self.n:
             return np.empty(0, np.int64), np.empty(0)
-        bound = weight @ self.most[term]
-        live = np.zeros(self.blocks, bool)
-        live[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        for final in (False, True):
-            total = self.cosines(term, weight, live)
+        total = np.zeros(self.blocks * BLOCK)
+        long = self.row[term] >= 0
+        self.add(total, term[~long], weight[~long])
+
+        def kth() -> float:
             if skip >= 0:
                 total[skip] = 0
-            hit = np.flatnonzero(total > 0)
-            least = np.partition(total[hit], len(hit) - k)[len(hit) - k] if len(hit) > k else 0.0
-            if not final:
-                live = bound + 1e-12 >= least
-        hit = hit[total[hit] + 1e-12 >= least]
+            hit = total[total > 0]
+            return np.partition(hit, len(hit) - k)[len(hit) - k] if len(hit) > k else 0.0
+
+        if long.any():
+            bound = total.reshape(-1, BLOCK).max(1) + weight[long] @ self.most[self.row[term[long]]]
+            self.add(total, term[long], weight[long], bound + 1e-12 >= kth())
+        least = kth()
+        hit = np.flatnonzero(total + 1e-12 >= max(least, 2e-12)) if least else np.flatnonzero(total > 0)
         best = np.lexsort((hit, -total[hit].round(12)))[:k]
         return hit[best], total[hit[best]]
 
@@ -161,23 +169,25 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Model:
-    """What the workers need: vocabulary, idf, index, labels and calibration; its size is bounded by the parameters."""
-
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], class_weight: tuple[float, float]):
-        self.terms, self.idf = terms, idf
-        vectors = [weigh((t, c), idf) for _, _, t, c in examples]
+    """What the workers need: vocabulary, weights, index, labels and calibration; its size is bounded by the examples' texts."""
+
+    def __init__(self, terms: pa.Array, frequency: np.ndarray, n: int, examples: list[tuple[int, int, np.ndarray, np.ndarray]], class_weight: tuple[float, float]):
+        self.terms = terms
+        labels = np.array([e[1] for e in examples], float)
+        self.strange = FLOOR * float(np.log(n + 1))
+        self.scale = np.log((n + 1) / (np.minimum(frequency, n) + 1)) * (FLOOR + ties(len(terms), [e[2] for e in examples], labels))
+        vectors = [weigh((t, c, 0.0), self.scale, self.strange) for _, _, t, c in examples]
         # neighbours in the index share their heaviest terms, so that blocks differ and bounds cut
         order = sorted(range(len(examples)), key=lambda i: (examples[i][1], [int(vectors[i][0][j]) for j in np.argsort(-vectors[i][1], kind="stable")[:2]], examples[i][0]))
         self.vectors = [vectors[i] for i in order]
         self.ids = np.array([examples[i][0] for i in order], np.int64)
-        self.labels = np.array([examples[i][1] for i in order], float)
+        self.labels = labels[order] if order else labels
         self.weights = np.where(self.labels > 0, class_weight[1], class_weight[0])
         self.index = BlockMaxIndex(self.vectors, len(terms))
-        none = np.array([len(t) == 0 for t, _ in self.vectors], bool)
         w = self.weights
         self.prior = float((w @ self.labels) / w.sum()) if len(w) else 0.0
-        self.without = float((w[none] @ self.labels[none] + 0.5 * self.prior) / (w[none].sum() + 0.5)) if len(w) else 0.0
         votes = np.array([self.raw(v, skip=i) for i, v in enumerate(self.vectors)])
+        self.vectors = []
         seen = ~np.isnan(votes)
         self.curve = isotonic(votes[seen], self.labels[seen], w[seen]) if seen.any() else (np.zeros(1), np.zeros(1))
 
@@ -185,15 +195,37 @@ class Model:
         got, cosines = self.index.nearest(v, NEIGHBOURS, skip)
         return vote(self.labels, got, cosines, self.weights, self.prior) if len(got) else np.nan
 
-    def score(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[int], list[str]]:
+    def score(self, counts: tuple[np.ndarray, np.ndarray, float]) -> tuple[float, list[int], list[str]]:
         """(calibrated score, ids of the nearest examples, the text's heaviest terms)."""
-        v = weigh(counts, self.idf)
+        v = weigh(counts, self.scale, self.strange)
         got, cosines = self.index.nearest(v, NEIGHBOURS)
         if not len(got):
-            return self.without, [], []
+            return self.prior, [], []
         x = vote(self.labels, got, cosines, self.weights, self.prior)
         top = np.argsort(-v[1], kind="stable")[:5]
-        return float(np.clip(np.interp(x, *self.curve), 0, 1)), self.ids[got[:5]].tolist(), [self.terms[i] for i in v[0][top].tolist()]
+        return float(np.clip(np.interp(x, *self.curve), 0, 1)), self.ids[got[:5]].tolist(), self.terms.take(pa.array(v[0][top])).to_pylist()
+
+    def scores(self, vectors: Vectors, texts: list[bytes], known: dict) -> list[tuple[float, list[int], list[str]]]:
+        """``score`` of each text; equal texts are scored once."""
+        new = list({t: None for t in texts if t not in known})
+        if len(known) + len(new) > KNOWN:
+            known.clear()
+            new = list(dict.fromkeys(texts))
+        for t, v in zip(new, vectors.of(new), strict=True):
+            known[t] = self.score(v)
+        return [known[t] for t in texts]
+
+
+def ties(n_terms: int, terms: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """How much each term goes with one label, from 0 to 1: the root of its chi-squared beyond chance over the number of examples."""
+    n, n1 = len(labels), float(labels.sum())
+    n0 = n - n1
+    if not n1 or not n0:
+        return np.zeros(n_terms)
+    flat, owner = np.concatenate(terms), np.repeat(np.arange(n), [len(t) for t in terms])
+    both, toxic = np.bincount(flat, minlength=n_terms), np.bincount(flat, labels[owner], n_terms)
+    chi2 = n * (toxic * n0 - (both - toxic) * n1) ** 2 / (n1 * n0 * np.maximum(both, 0.5) * np.maximum(n - both, 0.5))
+    return np.sqrt(np.minimum(1.0, np.maximum(chi2 - CHANCE, 0) / n))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> tuple[DataFrame, tuple[float, float]]:
@@ -208,129 +240,97 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> tuple[Dat
     return sample, tuple(max(1.0, total.get(side, 0) / bound) for side in (0, 1))
 
 
-def vocabulary_of(sample: DataFrame, max_terms: int) -> list[str]:
-    """The terms most tied to the label, from all examples' texts."""
-
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for part in parts:
-            for label, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                seen[label].update({t for w in set(text.encode().split()) for t in terms_of(w)})
-        for label in (0, 1):
-            items = list(seen[label].items())
-            for i in range(0, len(items), 50_000):
-                term, n = zip(*items[i : i + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array([label] * len(n), pa.int32()), pa.array(n, pa.int64())], ["term", "toxic", "n"])
-
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        return []
-    rows = sample.select("toxic", "text").mapInArrow(count, "term string, toxic int, n long")
-    a, b = F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).cast("double"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).cast("double")
-    both = rows.groupBy("term").agg(a.alias("a"), b.alias("b")).filter(F.col("a") + F.col("b") >= MIN_TEXTS)
-    n = float(n1 + n0)
-    with_term, without = F.col("a") + F.col("b"), F.lit(n) - F.col("a") - F.col("b")
-    chi2 = F.lit(n) * F.pow(F.col("a") * n0 - F.col("b") * n1, F.lit(2.0)) / (F.lit(float(n1)) * F.lit(float(n0)) * with_term * F.greatest(without, F.lit(0.5)))
-    top = both.select("term", chi2.alias("chi2")).filter(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(max_terms)
-    return sorted(r["term"] for r in top.collect())  # at most `max_terms` rows
-
-
-def document_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, terms, counts) of every whole text, written once: frequencies and scores both read it."""
-    vocabulary = {t: i for i, t in enumerate(terms)}
+def examples_of(sample: DataFrame) -> list[tuple[int, int, list[str], np.ndarray]]:
+    """(doc_id, toxic, terms, counts) of the examples' whole texts."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Vectors(vocabulary)
         for part in parts:
-            for at, texts in text_groups(part.column(1)):
-                v = own.of(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(at, len(v)), pa.array([t.astype(np.int32).tobytes() for t, _ in v], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in v], pa.binary())], ["doc_id", "terms", "counts"])
-
-    return materialize(documents_of(docs).mapInArrow(run, "doc_id long, terms binary, counts binary"), "term-vectors")
-
+            for at, texts in text_groups(part.column(2)):
+                terms, doc, term, count = term_counts(texts)
+                cut = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
+                words = pa.ListArray.from_arrays(cut, terms.take(pa.array(term)))
+                numbers = pa.ListArray.from_arrays(cut, pa.array(count, pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(at, len(texts)), part.column(1).slice(at, len(texts)), words, numbers], ["doc_id", "toxic", "terms", "counts"])
 
-def numbers(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.int32).astype(np.int64) for x in column.to_pylist()]
+    found = sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<string>, counts array<long>")
+    got = found.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])  # at most 2 * MAX_EXAMPLES rows
+    return list(zip(*(got.column(c).to_pylist() for c in range(4)), strict=True))
 
 
-def document_frequencies(vectors: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
+def document_frequencies(docs: DataFrame, terms: pa.Array) -> tuple[np.ndarray, int]:
     """In how many of all documents each term is, and how many documents there are."""
+    n_terms = len(terms)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)  # bounded by the examples' texts
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(n_terms + 1, np.int64)
+        seen, vectors = np.zeros(n_terms + 1, np.int64), Vectors(shared.value)
         for part in parts:
-            for term in numbers(part.column(0)):
-                seen[term] += 1
+            for _, texts in text_groups(part.column(0)):
+                for term, _, _ in vectors.of(texts):
+                    seen[term] += 1
             seen[-1] += part.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(seen))), pa.array(seen)], ["term", "n"])
+        if seen[-1]:
+            chunks = range(0, n_terms + 1, CHUNK_TERMS)
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([seen[i : i + CHUNK_TERMS].tobytes() for i in chunks], pa.binary())], ["chunk", "counts"])
 
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    rows = documents_of(docs).select("text").mapInArrow(count, "chunk long, counts binary").groupBy("chunk").applyInArrow(add, "chunk long, counts binary")
     out = np.zeros(n_terms + 1, np.int64)
-    for r in vectors.select("terms").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each term
-        out[r["term"]] = r["n"]
+    for r in rows.collect():  # a number for each term
+        out[r["chunk"] : r["chunk"] + CHUNK_TERMS] = np.frombuffer(r["counts"], np.int64)
     return out[:-1], int(out[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> tuple[Model, DataFrame]:
-    """The model, and the term vectors of all documents."""
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
     sample, class_weight = labelled_sample(docs, labels, max_examples)
-    terms = vocabulary_of(sample, max_terms)
-    everything = document_vectors(docs, terms)
-    frequency, n = document_frequencies(everything, len(terms))
-    idf = np.log((n + 1) / (frequency + 1)) + 1
-    vocabulary = {t: i for i, t in enumerate(terms)}
-
-    def vectors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Vectors(vocabulary)
-        for part in parts:
-            for at, texts in text_groups(part.column(2)):
-                v = own.of(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(at, len(v)), part.column(1).slice(at, len(v)), pa.array([t.tobytes() for t, _ in v], pa.binary()), pa.array([c.tobytes() for _, c in v], pa.binary())], ["doc_id", "toxic", "terms", "counts"])
-
-    rows = sample.select("doc_id", "toxic", "text").mapInArrow(vectors, "doc_id long, toxic int, terms binary, counts binary").collect()  # at most 2 * max_examples rows of max_terms numbers
-    examples = [(r["doc_id"], r["toxic"], np.frombuffer(r["terms"], np.int64), np.frombuffer(r["counts"], np.int64)) for r in rows]
-    return Model(terms, idf, examples, class_weight), everything
-
-
-def scored(everything: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, neighbours, terms) from the term vectors of every whole text."""
-    shared = everything.sparkSession.sparkContext.broadcast(model)
+    found = examples_of(sample)
+    terms = pa.array(sorted({t for e in found for t in e[2]}), pa.string())
+    place = {t: i for i, t in enumerate(terms.to_pylist())}
+    frequency, n = document_frequencies(docs, terms)
+    examples = []
+    for doc, toxic, own, count in found:
+        at = np.array([place[t] for t in own], np.int64)
+        order = np.argsort(at)
+        examples.append((doc, toxic, at[order], np.array(count, np.int64)[order]))
+    return Model(terms, frequency, n, examples, class_weight)
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score, neighbours, terms) of every whole text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value, {}
+        vectors = Vectors(m.terms)
         for part in parts:
-            out = []
-            for key, term, count in zip(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True), numbers(part.column(1)), numbers(part.column(2)), strict=True):
-                got = known.get(key)
-                if got is None:
-                    if len(known) >= 20_000:
-                        known.clear()
-                    got = known[key] = m.score((term, count))
-                out.append(got)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.string()))], ["doc_id", "score", "neighbours", "terms"])
+            for at, texts in text_groups(part.column(1)):
+                out = m.scores(vectors, texts, known)
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(at, len(texts)), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.string()))], ["doc_id", "score", "neighbours", "terms"])
 
-    return everything.mapInArrow(run, "doc_id long, score double, neighbours array<long>, terms array<string>")
+    return documents_of(docs).mapInArrow(run, "doc_id long, score double, neighbours array<long>, terms array<string>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """Scores and verdicts of all documents, with evidence."""
-    model, everything = fit(docs, labels, max_examples)
-    found = scored(everything, model)
+    found = scored(docs, fit(docs, labels, max_examples))
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "terms")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text scores below 0.5."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_examples)[0])
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_examples))
     place = docs.columns.index("text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        vectors = Vectors({t: i for i, t in enumerate(m.terms)})
+        m, known = shared.value, {}
+        vectors = Vectors(m.terms)
         for part in parts:
             good: list[bool] = []
             for _, texts in text_groups(pc.fill_null(part.column(place), "")):
-                good += [m.score(v)[0] < 0.5 for v in vectors.of(texts)]
+                good += [x[0] < 0.5 for x in m.scores(vectors, texts, known)]
             yield part.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
