@@ -167,6 +167,26 @@ def test_simhash_chains_of_links(spark):
     assert {f: roots.get(f, f) for f in signed} == want
 
 
+@pytest.mark.parametrize("crowd", [0, 3, 1000])
+def test_simhash_crowded_signatures(spark, crowd):
+    """Pairs by signature, exact codes of crowded signatures, and both together give the same components."""
+    rng = np.random.default_rng(3)
+    fps = set()
+    for _ in range(12):
+        at = int(rng.integers(0, 1 << 63))
+        for _ in range(40):  # walks of one to three bits a step
+            fps.add(at)
+            for b in rng.integers(0, 64, int(rng.integers(1, 4))).tolist():
+                at ^= 1 << b
+    signed = {f - (1 << 64) if f >> 63 else f: f for f in sorted(fps)}
+    df = spark.createDataFrame([(f,) for f in signed], "fp long")
+    found = simhash.links(df, crowd)
+    assert all((signed[r["a"]] ^ signed[r["b"]]).bit_count() <= 2 for r in found.collect())
+    roots = {r["node"]: r["root"] for r in simhash.connected_components(found).collect()}
+    want = components(dict(sorted(signed.items())))
+    assert {f: roots.get(f, f) for f in signed} == want and len(set(want.values())) < len(want)
+
+
 def test_one_of_each(spark):
     texts = corpus(6)
     texts += [texts[12], texts[12]]

@@ -106,7 +106,7 @@ def test_mixing_equals_sql(spark):
     con = duckdb.connect()
     con.register("documents", documents.toArrow())
     want = sorted(con.sql(mixing.mix_sql()).fetchall(), key=str)
-    got = mixing.mix_sample(documents).selectExpr("doc_id", "source", "lang", "topic", "n_tokens", "round(rate, 6) AS rate")
+    got = mixing.mix_sample(documents).selectExpr("doc_id", "source", "lang", "topic", "n_tokens", "round(rate, 6) AS rate", "copies")
     assert sorted((tuple(r) for r in got.collect()), key=str) == want
 
 
@@ -122,29 +122,34 @@ def test_raking_meets_all_targets(spark):
 
 def test_mixing_keeps_columns_and_expectation(spark):
     documents = spark.createDataFrame(mixed_rows(1, 2000), SCHEMA)
-    kept = mixing.mix_documents(documents, 0.5)
+    kept = mixing.mix_copies(documents, 0.5)
     assert kept.columns == documents.columns
     tokens = lambda d: d.selectExpr("sum(greatest(regexp_count(coalesce(text, ''), '[^ ]+'), 1)) AS n").first()["n"]
     assert abs(tokens(kept) / tokens(documents) - 0.5) < 0.06
-    plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    for df in (kept, mixing.mix_sample(documents)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_copies_meet_the_targets(spark):
+def test_copies_meet_the_targets(spark, monkeypatch):
+    """The marginals of the sample itself, not only of the raked weights, are the targets."""
     documents = spark.createDataFrame(mixed_rows(2, 6000), SCHEMA)
     cells = mixing.features(documents).groupBy(*mixing.DIMENSIONS).agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "tokens")
     targets = {d: {r[0]: r[1] for r in t.collect()} for d, t in mixing.tempered_targets(cells).items()}
 
-    def gap(sample):
-        rows = mixing.features(sample).collect()
-        total = sum(r["n_tokens"] for r in rows)
-        return max(abs(sum(r["n_tokens"] for r in rows if r[d] == k) / total - x) for d in targets for k, x in targets[d].items())
+    def gap(rows):
+        total = sum(r["n_tokens"] * r["copies"] for r in rows)
+        return max(abs(sum(r["n_tokens"] * r["copies"] for r in rows if r[d] == k) / total - x) for d in targets for k, x in targets[d].items())
 
-    copies = mixing.mix_copies(documents)
-    assert copies.columns == documents.columns
-    assert gap(copies) < 0.02 < gap(mixing.mix_documents(documents))
+    sample = mixing.mix_sample(documents).collect()
+    assert gap(sample) < 0.02 and max(r["copies"] for r in sample) > 1
+    copied = mixing.mix_copies(documents)
+    assert copied.columns == documents.columns
+    assert gap(mixing.features(copied).selectExpr("*", "1 AS copies").collect()) < 0.02
     tokens = lambda d: mixing.features(d).agg({"n_tokens": "sum"}).first()[0]
-    assert abs(tokens(copies) / tokens(documents) - mixing.KEEP) < 0.04
+    assert abs(tokens(copied) / tokens(documents) - mixing.KEEP) < 0.04
+    monkeypatch.setattr(mixing, "FEW_CELLS", 0)  # the dealt form gives the same
+    assert sorted(map(str, mixing.mix_sample(documents).selectExpr("doc_id", "copies", "round(rate, 6)").collect())) == sorted(str(r) for r in spark.createDataFrame(sample).selectExpr("doc_id", "copies", "round(rate, 6)").collect())
     for _, df in odd_frames(spark):
         assert set(mixing.mix_copies(df).collect()) <= set(df.collect())
 
@@ -159,8 +164,8 @@ def test_pipeline_mixing_meets_the_targets(spark):
 def test_odd_tables(spark):
     for name, df in odd_frames(spark):
         assert packing.pack(df, WORDS).select("doc_id").count() == df.count(), name
-        assert mixing.mix_documents(df).count() <= df.count()
-        assert mixing.mix_sample(df).count() == mixing.mix_documents(df).count()
+        assert mixing.mix_sample(df).count() <= df.count()
+        assert sum(r["copies"] for r in mixing.mix_sample(df).collect()) == mixing.mix_copies(df).count()
 
 
 def test_pipeline(spark):

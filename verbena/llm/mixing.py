@@ -2,14 +2,13 @@
 
 Token weights are summed to cells of source, language and topic (partial sums first, so a source with a third of all
 rows sends a few cells). Raking scales the cells to the target share of each source, language and topic in turn,
-``ROUNDS`` times. A cell's sampling rate is its raked share over its tokens, scaled so that the expected sample has
-``KEEP`` of all tokens (rates above 1 are cut and their surplus is dealt to the others). A document stays if a hash of its
-id, as a number from 0 to 1, lies below its cell's rate. Where rates are cut the sample misses the targets; ``mix_copies``
-does not cut: a rate of 2.3 gives two copies, and a third if the hash lies below 0.3.
+``ROUNDS`` times. A cell's rate is its raked share over its tokens, scaled so that the expected sample has ``KEEP`` of all
+tokens. A hash of a document's id is a number from 0 to 1; a rate of 0.3 keeps the document if that number lies below 0.3, a
+rate of 2.3 gives two copies, and a third if it does. No rate is cut, so the sample meets all targets in expectation.
 
 Defined cases: a null source or language is its own group, named ``unknown``; a null or empty text weighs one token; rows with
-one doc_id stay or go together; a null doc_id hashes like a word; an empty table gives an empty table; further
-columns are kept by ``mix_documents`` as they are.
+one doc_id have one number of copies; a null doc_id hashes like a word; a text's length plays no part beyond its tokens; an empty table gives an
+empty table; further columns are kept by ``mix_copies`` as they are.
 """
 
 from __future__ import annotations
@@ -19,9 +18,11 @@ from pyspark.sql import functions as F
 
 from verbena.llm.shared import materialize
 
-ROUNDS, SCALINGS = 12, 8
+ROUNDS = 12
 #: Rounds in one plan.
 ROUNDS_AT_ONCE = 4
+#: So many cells are raked in one partition, without shuffles; more are dealt by each dimension in turn.
+FEW_CELLS = 20_000
 KEEP = 0.8
 #: A target share is the present share raised to this power and rescaled: below 1 it evens out.
 TEMPER = {"source": 0.5, "lang": 0.7, "topic": 0.7}
@@ -73,7 +74,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     for d in DIMENSIONS:
         at = at.join(targets[d].withColumnRenamed("target", f"{d}_target"), d)
     at = materialize(at.withColumn("share", F.col("tokens").cast("double")), "cells")
+    few = at.count() <= FEW_CELLS
     for k in range(rounds):
+        if few and k % ROUNDS_AT_ONCE == 0:
+            at = at.coalesce(1)  # one partition serves the windows of all dimensions
         for d in DIMENSIONS:
             at = at.withColumn("share", F.col("share") * F.col(f"{d}_target") / F.sum("share").over(Window.partitionBy(d)))
         if k % ROUNDS_AT_ONCE == ROUNDS_AT_ONCE - 1:
@@ -81,19 +85,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return at.select(*DIMENSIONS, "tokens", "share")
 
 
-def rates(raked: DataFrame, keep: float = KEEP, scalings: int = SCALINGS, cut_at_one: bool = True) -> DataFrame:
-    """``rate`` of each cell: its raked share over its tokens, scaled to ``keep`` of all tokens and cut at 1 unless told not to."""
-    at = materialize(raked.withColumn("factor", F.col("share") / F.col("tokens")), "factors")
+def rates(raked: DataFrame, keep: float = KEEP) -> DataFrame:
+    """``rate`` of each cell: its raked share over its tokens, scaled to ``keep`` of all tokens."""
+    at = raked.withColumn("factor", F.col("share") / F.col("tokens"))
     tokens, share = at.agg(F.sum("tokens"), F.sum("share")).first()
-    wanted = float(tokens or 0) * keep
-    scale = wanted / share if share else 0.0
-    if not cut_at_one:
-        return at.select(*DIMENSIONS, (F.col("factor") * F.lit(scale)).alias("rate"))
-    for _ in range(scalings):  # a sum over the cells each time
-        cut = F.col("factor") * F.lit(scale) >= 1
-        full, left = at.agg(F.sum(F.when(cut, F.col("tokens")).otherwise(0)), F.sum(F.when(cut, 0.0).otherwise(F.col("share")))).first()
-        scale = (wanted - full) / left if left else scale
-    return at.select(*DIMENSIONS, F.least(F.lit(1.0), F.col("factor") * F.lit(scale)).alias("rate"))
+    scale = float(tokens or 0) * keep / share if share else 0.0
+    return at.select(*DIMENSIONS, (F.col("factor") * F.lit(scale)).alias("rate"))
 
 
 def unit_hash(doc_id: str = "doc_id") -> Column:
@@ -102,40 +99,35 @@ def unit_hash(doc_id: str = "doc_id") -> Column:
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def sampling_rates(found: DataFrame, keep: float = KEEP, cut_at_one: bool = True) -> DataFrame:
+def sampling_rates(found: DataFrame, keep: float = KEEP) -> DataFrame:
     """(source, lang, topic, rate) from the features of all documents."""
     cells = materialize(found.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    return materialize(rates(rake(cells, tempered_targets(cells)), keep, cut_at_one=cut_at_one), "rates")
+    return materialize(rates(rake(cells, tempered_targets(cells)), keep), "rates")
 
 
-def mix_sample(docs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, rate) of the documents that stay."""
-    found = materialize(features(docs), "mix-features")
-    return found.join(sampling_rates(found, keep), list(DIMENSIONS)).filter(unit_hash() < F.col("rate"))
+def copies(rate: str, doc_id: str = "doc_id") -> Column:
+    """How often a document comes: the rate's whole part, and once more with its fraction as probability."""
+    whole = F.floor(rate)
+    return whole + (unit_hash(doc_id) < F.col(rate) - whole).cast("long")
 
 
-def mix_documents(docs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """The documents that stay, all columns as they are."""
-    return with_rates(docs, keep).filter(unit_hash() < F.col("__rate")).select(*docs.columns)
+def mix_sample(docs: DataFrame, keep: float = KEEP) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens, rate, copies) of the documents in the sample."""
+    found = materialize(features(docs), "mix-features")
+    rated = found.join(sampling_rates(found, keep), list(DIMENSIONS))
+    return rated.withColumn("copies", copies("rate")).filter("copies > 0")
 
 
 def mix_copies(docs: DataFrame, keep: float = KEEP) -> DataFrame:
     """As many copies of each document as its rate says, all columns as they are: the sample meets the raked targets."""
-    whole = F.floor("__rate")
-    times = (whole + (unit_hash() < F.col("__rate") - whole).cast("long")).alias("__times")
-    rated = with_rates(docs, keep, cut_at_one=False).select(*docs.columns, times).filter("__times > 0")
-    return rated.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
-
-
-def with_rates(docs: DataFrame, keep: float, cut_at_one: bool = True) -> DataFrame:
-    """All documents with the rate of their cell as ``__rate``."""
-    rate = sampling_rates(features(docs), keep, cut_at_one).select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("rate").alias("__rate"))
-    tokens = token_weight(F.col("text"))
-    own = docs.withColumns({"__s": F.coalesce("source", F.lit("unknown")), "__l": F.coalesce("lang", F.lit("unknown")), "__t": topic_of(F.col("text"), tokens)})
-    return own.join(rate, (F.col("__s") == F.col("__source")) & (F.col("__l") == F.col("__lang")) & (F.col("__t") == F.col("__topic")))
+    rate = sampling_rates(features(docs), keep).select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("rate").alias("__rate"))
+    own = docs.withColumns({"__s": F.coalesce("source", F.lit("unknown")), "__l": F.coalesce("lang", F.lit("unknown")), "__t": topic_of(F.col("text"), token_weight(F.col("text")))})
+    rated = own.join(rate, (F.col("__s") == F.col("__source")) & (F.col("__l") == F.col("__lang")) & (F.col("__t") == F.col("__topic")))
+    some = rated.select(*docs.columns, copies("__rate").alias("__times")).filter("__times > 0")
+    return some.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
 
 
-def mix_sql(keep: float = KEEP, rounds: int = ROUNDS, scalings: int = SCALINGS, table: str = "documents") -> str:
+def mix_sql(keep: float = KEEP, rounds: int = ROUNDS, table: str = "documents") -> str:
     """The same in SQL, the rounds written out."""
     s = [f"""f0 AS (SELECT doc_id, coalesce(source, 'unknown') AS source, coalesce(lang, 'unknown') AS lang, coalesce(text, '') AS text,
   greatest(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')), 1) AS n_tokens FROM {table}),
@@ -154,10 +146,9 @@ c AS (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM f GROUP B
             s.append(f"r{k + 1} AS MATERIALIZED (SELECT * REPLACE (share * {d}_target / sum(share) OVER (PARTITION BY {d}) AS share) FROM r{k})")
             k += 1
     s.append(f"q AS (SELECT *, share / tokens AS factor FROM r{k})")
-    s.append(f"w0 AS (SELECT sum(tokens)::DOUBLE * {keep} AS wanted, sum(tokens)::DOUBLE * {keep} / sum(share) AS scale FROM q)")
-    for i in range(scalings):
-        s.append(f"w{i + 1} AS MATERIALIZED (SELECT wanted, CASE WHEN open > 0 THEN (wanted - filled) / open ELSE scale END AS scale FROM (SELECT wanted, scale, sum(CASE WHEN factor * scale >= 1 THEN tokens ELSE 0 END)::DOUBLE AS filled, sum(CASE WHEN factor * scale >= 1 THEN 0.0 ELSE share END) AS open FROM q, w{i} GROUP BY wanted, scale))")
-    s.append(f"p AS (SELECT source, lang, topic, least(1.0, factor * scale) AS rate FROM q, w{scalings})")
-    return "WITH " + ",\n".join(s) + f"""
-SELECT doc_id, source, lang, topic, n_tokens, round(rate, 6) AS rate FROM f JOIN p USING (source, lang, topic)
-WHERE ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0 < rate"""
+    s.append(f"p AS (SELECT source, lang, topic, factor * (SELECT sum(tokens)::DOUBLE * {keep} / sum(share) FROM q) AS rate FROM q)")
+    s.append(f"""h AS (SELECT doc_id, source, lang, topic, n_tokens, rate,
+  ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT / 4294967296.0 AS u FROM f JOIN p USING (source, lang, topic))""")
+    return "WITH " + ",\n".join(s) + """
+SELECT doc_id, source, lang, topic, n_tokens, round(rate, 6) AS rate, floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT AS copies FROM h
+WHERE floor(rate)::BIGINT + (u < rate - floor(rate))::BIGINT > 0"""
