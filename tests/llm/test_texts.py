@@ -67,6 +67,44 @@ def test_any_html_is_read(page):
     html_extract.extract(page, None)
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<p class=can't>kept</p><p>more</p>", "kept\n\nmore"), ('<p>a</p><img alt="5" height"><p>after</p>', "a\n\nafter"), ('<p class="open>a</p><p>b</p>', "a\n\nb"),
+    ('<p title="the hidden world">kept</p>', "kept"), ("<p hidden>x</p><p>y</p>", "y"), ('<p style="color:red; display: none">x</p><p>y</p>', "y"),
+    ('<article class="share price"><p>kept</p></article>', "kept"), ('<article id="copyright"><p>kept</p></article>', "kept"), ('<div class="legal analysis">kept</div>', "kept"),
+    ("<form><p>one</p><input><p>two</p></form>", "one\n\ntwo"), ("<body><p>lead</p><nav><p>the long rest of it</p>", "lead\n\nthe long rest of it"), ("<div class=comments>all there is</div>", "all there is"),
+    ("<p>keep <button>Buy</button> this <span class=ad>ad</span> too</p>", "keep this too"), ("<p>a <noscript>b</noscript>c<svg><text>t</text></svg> d<select><option>x</select></p>", "a c d"),
+    ("<!-->x", "x"), ("<b><p>one</b> two</p>", "one two"), ("<title>x", "x"),
+])
+def test_html_as_it_comes(page, text):
+    assert html_extract.extract(page, None)[0] == text
+
+
+@pytest.mark.parametrize("page", ["<i>" * 20_000 + "x", "<div>" * 20_000 + "x" + "</div>" * 20_000, "<b>t" * 12_000, "<ul><li>" + "<b>" * 8000 + "<li></li>" * 8000, "<title>" * 8000, "<div><p>" * 8000, "<p><i>" * 8000, "<a b='" * 8000, "<section class=ad>x" * 8000])
+def test_deep_pages_take_no_time(page):
+    import time
+
+    began = time.process_time()
+    html_extract.extract(page, None)
+    assert time.process_time() - began < 1
+
+
+def test_votes_and_texts_equal_a_plain_loop(spark):
+    """Votes summed in a dict and every page read by its host's winner, for all pages of a table."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = pages.collect()
+    votes = {}
+    for r in rows:
+        found = html_extract.read_page(r["html"] or "")
+        scores = html_extract.container_scores(found)
+        depth = html_extract.depths_of(found, scores)
+        for path, x in scores.items():
+            own = votes.setdefault(html_extract.host_of(r["url"]), {}).setdefault(path, [0.0, depth[path]])
+            own[0] += x / sum(scores.values())
+    best = {h: max(own, key=lambda p: (round(own[p][0], 6), own[p][1], html_extract.signed(p))) for h, own in votes.items()}
+    want = sorted((r["page_id"], html_extract.extract(r["html"], best.get(html_extract.host_of(r["url"])))[0]) for r in rows)
+    assert collect(html_extract.main_text(pages), "page_id", "text") == want
+
+
 def test_hosts_agree_on_a_path(spark):
     """A page whose own best container is another one follows its host's vote."""
     good = "<body><div class='story'><p>" + "word " * 50 + "</p></div><div class='blurb'><p>short</p></div></body>"
