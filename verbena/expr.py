@@ -147,6 +147,12 @@ class Symbolic:
             return Symbolic(node.args[0])
         return Symbolic(Op("__invert__", (node,)))
 
+    def __abs__(self) -> Symbolic:
+        return Symbolic(Op("__abs__", (node_of(self),)))
+
+    def __matmul__(self, other: Any) -> Symbolic:
+        return Symbolic(Op("__matmul__", (node_of(self), other)))
+
     def __round__(self, n: int = 0) -> Symbolic:
         return Symbolic(Op("__round__", (node_of(self), n)))
 
@@ -162,7 +168,7 @@ class Symbolic:
 
 
 #: Operators that pandas users also call by their dunder names.
-OPERATOR_METHODS = frozenset(f"__{x}__" for x in BINARY) | frozenset(f"__r{x}__" for x in REFLECTED) | {"__neg__", "__pos__", "__invert__", "__round__", "__array__"}
+OPERATOR_METHODS = frozenset(f"__{x}__" for x in BINARY) | frozenset(f"__r{x}__" for x in REFLECTED) | {"__neg__", "__pos__", "__invert__", "__round__", "__abs__", "__matmul__", "__array__"}
 
 
 def _binary(name: str, swap: bool) -> Callable:

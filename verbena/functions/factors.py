@@ -121,7 +121,8 @@ def fct_recode(c, x, recat=None, **kwargs):
     both = {**(recat or {}), **kwargs}
     if recat and set(recat) & set(kwargs):
         raise ValueError("a level is named twice")
-    return mapped(x, [([old] if isinstance(old, str) else list(old), new) for new, old in both.items()], None)
+    pairs = [([old] if isinstance(old, str) else list(old), new) for new, old in both.items()]
+    return releveled(c, x, pairs, None)
 
 
 @column_function("elwise")
@@ -130,7 +131,19 @@ def fct_collapse(c, x, recat, group_other=None):
     olds = [o for v in recat.values() for o in ([v] if isinstance(v, str) else v)]
     if len(olds) != len(set(olds)):
         raise ValueError("a level is assigned twice")
-    return mapped(x, [([v] if isinstance(v, str) else list(v), k) for k, v in recat.items()], group_other)
+    return releveled(c, x, [([v] if isinstance(v, str) else list(v), k) for k, v in recat.items()], group_other)
+
+
+def releveled(c: Any, x: Any, pairs: list[tuple[list, str]], other: str | None) -> Column:
+    """The mapped column; a factor's levels are mapped too, those put in ``other`` last."""
+    out = mapped(x, pairs, other)
+    field = c.df.select(lit(x)).schema[0]
+    if KEY not in field.metadata:
+        return out
+    to = {old: new for olds, new in pairs for old in olds}
+    own = [to.get(v, v if other is None else other) for v in field.metadata[KEY]]
+    kept = [v for v in dict.fromkeys(own) if v != other] + [other] * (other in own and other is not None)
+    return out.alias("x", metadata={KEY: kept, "ordered": bool(field.metadata.get("ordered"))})
 
 
 def level_place(df: DataFrame, name: str) -> Column:

@@ -81,14 +81,26 @@ def divide(x: Any, y: Any) -> Column:
     return F.when(a.isNull() | b.isNull(), None).when(b == 0, zero).otherwise(F.try_divide(a, b))
 
 
-def floor_div(x: Any, y: Any) -> Column:
-    """Python's floor division; null for a zero divisor."""
-    return F.floor(F.try_divide(lit(x), lit(y)))
+def integral(c: Any, *values: Any) -> bool:
+    return all(isinstance(v, int) and not isinstance(v, bool) if not isinstance(v, Column) else is_integral(c.dtype(v)) for v in values)
 
 
-def modulo(x: Any, y: Any) -> Column:
-    """Python's modulo: the sign of the divisor."""
-    return lit(x) - lit(y) * floor_div(x, y)
+def floor_div(c: Any, x: Any, y: Any) -> Column:
+    """Python's floor division, exact for whole numbers; null for a zero divisor."""
+    a, b = lit(x), lit(y)
+    if not integral(c, x, y):
+        return F.floor(F.try_divide(a, b))
+    toward_zero = F.call_function("div", a, b)
+    return F.when(b != 0, toward_zero - F.when((a % b != 0) & ((a < 0) != (b < 0)), 1).otherwise(0))
+
+
+def modulo(c: Any, x: Any, y: Any) -> Column:
+    """Python's modulo, with the sign of the divisor; null for a zero divisor."""
+    a, b = lit(x), lit(y)
+    if not integral(c, x, y):
+        return a - b * floor_div(c, x, y)
+    rest = a % b
+    return F.when(b != 0, rest + F.when((rest != 0) & ((a < 0) != (b < 0)), b).otherwise(0))
 
 
 def logical(both: Callable, bits: Callable) -> Callable:
@@ -103,8 +115,8 @@ _ARITHMETIC = {
     "__sub__ sub subtract": lambda c, x, y: lit(x) - lit(y),
     "__mul__ mul multiply": lambda c, x, y: lit(x) * lit(y),
     "__truediv__ truediv div divide": lambda c, x, y: divide(x, y),
-    "__floordiv__ floordiv": lambda c, x, y: floor_div(x, y),
-    "__mod__ mod": lambda c, x, y: modulo(x, y),
+    "__floordiv__ floordiv": lambda c, x, y: floor_div(c, x, y),
+    "__mod__ mod": lambda c, x, y: modulo(c, x, y),
     "__pow__ pow": lambda c, x, y: F.pow(lit(x), lit(y)),
     "__and__": logical(lambda a, b: a & b, lambda a, b: a.bitwiseAND(b)),
     "__or__": logical(lambda a, b: a | b, lambda a, b: a.bitwiseOR(b)),
@@ -127,7 +139,7 @@ add("elwise", "__round__ round", lambda c, x, decimals=0: F.round(lit(x), decima
 
 # --- row by row ----------------------------------------------------------------------------------
 
-add("elwise", "abs", lambda c, x: F.abs(x))
+add("elwise", "abs __abs__", lambda c, x: F.abs(x))
 add("elwise", "between", lambda c, x, left, right: lit(x).between(lit(left), lit(right)))
 add("elwise", "isin", lambda c, x, values: lit(x).isin(*values) if values else F.when(lit(x).isNotNull(), False))
 add("elwise", "copy", lambda c, x: x)
@@ -160,6 +172,10 @@ def _replace(c, x, to_replace, value=None):
         for k, v in to_replace.items():
             out = (F if out is None else out).when(lit(x) == lit(k), lit(v))
         return lit(x) if out is None else out.otherwise(lit(x))
+    if isinstance(to_replace, list) and isinstance(value, list):
+        if len(to_replace) != len(value):
+            raise ValueError("replace needs as many values as it replaces")
+        return _replace(c, x, dict(zip(to_replace, value, strict=True)))
     many = to_replace if isinstance(to_replace, list) else [to_replace]
     return F.when(lit(x).isin(*many), lit(value)).otherwise(lit(x))
 
@@ -198,8 +214,6 @@ simple("min", F.min, False)
 simple("max", F.max, False)
 simple("count", F.count, False)
 simple("median", F.median)
-simple("std", lambda x, ddof=1: F.stddev_samp(x) if ddof else F.stddev_pop(x))
-simple("var", lambda x, ddof=1: F.var_samp(x) if ddof else F.var_pop(x))
 simple("quantile", lambda x, q=0.5: F.percentile(x, F.lit(float(q))))
 simple("prod product", F.product)
 simple("all", F.bool_and, False)
@@ -209,7 +223,7 @@ simple("first item bool", lambda x: F.first(x, ignorenulls=False), False)
 simple("last", lambda x: F.last(x, ignorenulls=False), False)
 add("agg", "corr", lambda c, x, y: c.agg(F.corr(lit(x), lit(y))))
 add("agg", "cov", lambda c, x, y: c.agg(F.covar_samp(lit(x), lit(y))))
-add("agg", "dot", lambda c, x, y: c.agg(F.sum(lit(x) * lit(y))))
+add("agg", "dot __matmul__", lambda c, x, y: c.agg(F.sum(lit(x) * lit(y))))
 add("agg", "sem", lambda c, x: c.agg(F.stddev_samp(x)) / F.sqrt(c.agg(F.count(x))))
 add("agg", "size", lambda c, x: c.agg(F.count(F.lit(1))), True)
 add("agg", "empty", lambda c, x: c.agg(F.count(F.lit(1))) == 0, True)
@@ -217,6 +231,17 @@ add("agg", "hasnans", lambda c, x: c.agg(F.bool_or(missing(c, x))), True)
 add("agg", "equals", lambda c, x, y: c.agg(F.bool_and(lit(x).eqNullSafe(lit(y)))))
 
 
+@agg("var")
+def _var(c, x, ddof=1):
+    if ddof in (0, 1):
+        return c.agg((F.var_samp if ddof else F.var_pop)(number(c, x)))
+    n = c.agg(F.count(lit(x))).cast("double")
+    return F.when(n > ddof, c.agg(F.var_pop(number(c, x))) * n / F.nullif(n - ddof, F.lit(0.0)))
+
+
+add("agg", "std", lambda c, x, ddof=1: F.sqrt(_var(c, x, ddof)))
+
+
 @agg("skew")
 def _skew(c, x):
     n = c.agg(F.count(x)).cast("double")
@@ -311,7 +336,18 @@ add("window", "shift", lambda c, x, periods=1, fill_value=None: shifted(c, x, pe
 add("window", "pct_change", lambda c, x, periods=1: divide(x, shifted(c, x, periods)) - 1)
 add("window", "ffill", lambda c, x: c.over_order(F.last(lit(x), ignorenulls=True), UP_TO_HERE))
 add("window", "bfill", lambda c, x: c.over_order(F.first(lit(x), ignorenulls=True), FROM_HERE))
-add("window", "duplicated", lambda c, x, keep="first": c.over_order(F.row_number(), partition=(lit(x),)) > 1)
+
+
+@window("duplicated")
+def _duplicated(c, x, keep="first"):
+    if keep not in ("first", "last", False):
+        raise ValueError(f"duplicated: keep {keep!r}")
+    if keep is False:
+        return c.over_order(F.count(F.lit(1)), frame=(UP_TO_HERE[0], FROM_HERE[1]), partition=(lit(x),), own_order=by_value(x)) > 1
+    if keep == "last" and not c.order:
+        raise c.error("duplicated(keep='last') needs arrange()")
+    order = [F.col(f"`{k.name}`").asc_nulls_first() if k.descending else F.col(f"`{k.name}`").desc_nulls_first() for k in c.order] if keep == "last" else None
+    return c.over_order(F.row_number(), partition=(lit(x),), own_order=order) > 1
 
 
 @window("diff")
@@ -483,7 +519,7 @@ def _rename_categories(c, x, new):
     out = None
     for k, v in pairs.items():
         out = (F if out is None else out).when(lit(x) == F.lit(k), F.lit(v))
-    return out.otherwise(lit(x)).alias("x", metadata={"levels": [pairs.get(v, v) for v in own]})
+    return out.otherwise(lit(x)).alias("x", metadata={"levels": list(dict.fromkeys(pairs.get(v, v) for v in own))})
 
 
 @elwise("cat.remove_unused_categories")

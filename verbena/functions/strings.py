@@ -17,12 +17,27 @@ def each(names: str, f: Any) -> None:
 
 
 each("str.lower", F.lower)
-each("str.casefold", F.lower)
+each("str.casefold", lambda x: F.replace(F.lower(x), F.lit("ß"), F.lit("ss")))
 each("str.upper", F.upper)
 each("str.len", F.length)
 each("str.capitalize", lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1 << 30))))
-each("str.title", F.initcap)
-each("str.swapcase", lambda x: F.translate(x, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+
+
+def title(x: Column) -> Column:
+    """Every run of letters with a capital first and small letters after."""
+    runs = F.regexp_extract_all(x, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), "")
+
+
+def swapcase(x: Column) -> Column:
+    return F.array_join(F.transform(F.split(x, ""), lambda a: F.when(a == F.lower(a), F.upper(a)).otherwise(F.lower(a))), "")
+
+
+#: Letters that have a case.
+CASED = r"[\p{Lu}\p{Ll}\p{Lt}]"
+
+each("str.title", title)
+each("str.swapcase", swapcase)
 each("str.strip", lambda x, to_strip=SPACE: F.btrim(x, F.lit(to_strip)))
 each("str.lstrip", lambda x, to_strip=SPACE: F.ltrim(x, F.lit(to_strip)))
 each("str.rstrip", lambda x, to_strip=SPACE: F.rtrim(x, F.lit(to_strip)))
@@ -32,7 +47,6 @@ each("str.count", lambda x, pat: F.regexp_count(x, lit(pat)))
 each("str.match", lambda x, pat, case=True: F.rlike(x, F.lit(("" if case else "(?i)") + f"^(?:{plain(pat, 'pat')})")))
 each("str.fullmatch", lambda x, pat, case=True: F.rlike(x, F.lit(("" if case else "(?i)") + f"^(?:{plain(pat, 'pat')})$")))
 each("str.find", lambda x, sub: F.instr(x, sub) - 1)
-each("str.findall", lambda x, pat: F.regexp_extract_all(x, lit(pat), F.lit(0)))
 each("str.repeat", lambda x, repeats: F.repeat(x, lit(repeats)))
 each("str.encode", lambda x, encoding: F.encode(x, encoding))
 each("str.decode", lambda x, encoding: F.decode(x, encoding))
@@ -41,9 +55,9 @@ each("str.get", lambda x, i: F.get(x, lit(i)) if i >= 0 else F.try_element_at(x,
 each("str.join", lambda x, sep: F.array_join(x, sep))
 for _name, _pattern in {"isalnum": r"^[\p{L}\p{N}]+$", "isalpha": r"^\p{L}+$", "isdecimal": r"^\p{Nd}+$", "isdigit": r"^\p{Nd}+$", "isnumeric": r"^\p{N}+$", "isspace": r"^\s+$"}.items():
     each(f"str.{_name}", lambda x, p=_pattern: F.rlike(x, F.lit(p)))
-each("str.islower", lambda x: x == F.lower(x))
-each("str.isupper", lambda x: (x == F.upper(x)) & F.rlike(x, F.lit(r"\p{L}")))
-each("str.istitle", lambda x: (x == F.initcap(x)) & F.rlike(x, F.lit(r"\p{L}")))
+each("str.islower", lambda x: (x == F.lower(x)) & F.rlike(x, F.lit(CASED)))
+each("str.isupper", lambda x: (x == F.upper(x)) & F.rlike(x, F.lit(CASED)))
+each("str.istitle", lambda x: (x == title(x)) & F.rlike(x, F.lit(CASED)))
 
 
 @elwise("str.rfind")
@@ -135,11 +149,26 @@ def _rsplit(c, x, pat=None, n=-1):
     return F.when(F.size(parts) > n + 1, F.concat(F.array(head), F.slice(parts, F.size(parts) - n + 1, F.lit(n)))).otherwise(parts)
 
 
+@elwise("str.findall")
+def _findall(c, x, pat):
+    """All matches; those of the group if the pattern has one."""
+    import re
+
+    groups = re.compile(plain(pat, "pat")).groups
+    if groups > 1:
+        raise c.error("str.findall takes one group at most; Spark has no lists of tuples")
+    return F.regexp_extract_all(lit(x), F.lit(pat), F.lit(groups))
+
+
 @elwise("str.cat")
 def _cat(c, x, others=None, sep=None, na_rep=None, join=None):
-    if sep is not None or na_rep is not None or isinstance(others, list) or others is None:
-        raise c.error("str.cat takes one other column, without sep and na_rep")
-    return F.concat(lit(x), lit(others))
+    """Join with one or more other columns; a missing part makes the result missing unless ``na_rep`` stands for it."""
+    if others is None:
+        raise c.error("str.cat needs other columns; joining all rows to one string is no column operation")
+    parts = [lit(p) for p in (x, *(others if isinstance(others, (list, tuple)) else (others,)))]
+    if na_rep is not None:
+        parts = [F.coalesce(p, F.lit(na_rep)) for p in parts]
+    return F.concat(*[q for p in parts for q in (F.lit(sep or ""), p)][1:])
 
 
 @elwise("str.extract")

@@ -137,7 +137,7 @@ def position(c: Any, x: Any, n: int, order_by: Any, default: Any) -> Column:
     if default is not None:
         raise c.error("nth: default is not supported")
     if c.aggregating:
-        raise c.error("nth has a place in mutate and filter; in summarize use first or last with order_by")
+        return nth_of_group(c, lit(x), n, order_by)
     x = lit(x)
     if order_by is not None:
         own, descending = order_of(order_by)
@@ -153,6 +153,23 @@ def position(c: Any, x: Any, n: int, order_by: Any, default: Any) -> Column:
     return c.over_order(F.nth_value(x, -n), WHOLE, own_order=order)
 
 
+def nth_of_group(c: Any, x: Column, n: int, order_by: Any) -> Column:
+    """The value whose row number in the group is ``n`` + 1, from the end if ``n`` is negative."""
+    if order_by is not None:
+        own, descending = order_of(order_by)
+        keys = [(own, descending)]
+    elif c.order:
+        keys = [(F.col(f"`{k.name}`"), k.descending) for k in c.order]
+    else:
+        raise c.error("nth in summarize needs order_by or arrange()")
+    if n >= 0:
+        order = [k.desc_nulls_last() if d else k.asc_nulls_last() for k, d in keys]
+    else:
+        order = [k.asc_nulls_first() if d else k.desc_nulls_first() for k, d in keys]
+    at = c.stage(c.over_order(F.row_number(), own_order=order))
+    return F.max(F.when(at == (n + 1 if n >= 0 else -n), x))
+
+
 @column_function("agg")
 def nth(c, x, n, order_by=None, default=None):
     """The value at place ``n`` (from 0; negative from the end)."""

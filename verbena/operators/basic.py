@@ -65,12 +65,27 @@ def freeze_order(t: Tbl, name: str) -> Tbl:
     return t.with_(t.df.withColumn(h, quoted(name)), order_by=tuple(Key(h, k.descending) if k.name == name else k for k in t.order_by))
 
 
+def independent(t: Tbl, kwargs: dict) -> list[dict]:
+    """The arguments in runs that can be translated at once: none uses, or overwrites, what an earlier one of its run makes."""
+    runs: list[dict] = []
+    for name, x in kwargs.items():
+        node = E.node_of(x)
+        plain = not callable(node) and not any(isinstance(n, E.Raw) or isinstance(n, E.Root) and n.kind == "_" and node is n for n in E.walk(node))
+        used = E.columns_used(node)
+        ordered = name in t.columns  # a column that is there may be an order key, or be read by a neighbour
+        if runs and plain and not ordered and runs[-1] is not None and not used & set(runs[-1]) and not set(runs[-1]) & set(t.columns) and runs[-1].get("\0") is None:
+            runs[-1][name] = x
+        else:
+            runs.append({name: x} if plain else {name: x, "\0": True})
+    return [{k: v for k, v in r.items() if k != "\0"} for r in runs]
+
+
 def assign(t: Tbl, verb_name: str, args: tuple, kwargs: dict) -> tuple[Tbl, list[str]]:
     """Add columns one after the other, so that later ones see earlier ones."""
     made: list[str] = []
     groups = t.group_by
-    # all of one across() see the columns as they were before it
-    for a in (*args, *[{k: v} for k, v in kwargs.items()]):
+    # all of one across() see the columns as they were before it, and so do neighbours that use nothing of each other
+    for a in (*args, *independent(t, kwargs)):
         parts = named_expressions(t.df, (), a) if isinstance(a, dict) else named_expressions(t.df, (a,), {})
         if not isinstance(a, (dict, Across)):
             made.append(parts[0][0])

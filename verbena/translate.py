@@ -12,6 +12,7 @@ import warnings
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,6 +82,8 @@ class Context:
     #: In ``summarize``: results named so far, which expressions can't use.
     siblings: tuple[str, ...] = ()
     used_windows: bool = field(default=False, init=False)
+    #: Whole-table aggregates so far: the table they are over, the aggregates, and the table with them joined.
+    pool: tuple[DataFrame, list[Column], DataFrame] | None = field(default=None, init=False)
 
     # --- building blocks for operations ---
 
@@ -99,13 +102,20 @@ class Context:
 
     def over_group(self, col: Column) -> Column:
         """An aggregate on every row of its group. The whole table as a group is one aggregated row, joined back
-        by broadcast, so no window ever gathers all rows in one task."""
+        by broadcast, so no window ever gathers all rows in one task; all such aggregates over one table share the row."""
         if self.groups:
             self.used_windows = True
             return col.over(self.group_window())
         name = hidden_name()
-        one = self.df.agg(col.alias(name))  # one row
-        self.df = self.df.join(F.broadcast(one))
+        base, cols = (self.pool[0], self.pool[1]) if self.pool is not None and self.pool[2] is self.df else (self.df, [])
+        cols = [*cols, col.alias(name)]
+        try:
+            one = base.agg(*cols)
+        except AnalysisException:  # it uses an earlier aggregate: over the table that has it
+            base, cols = self.df, cols[-1:]
+            one = base.agg(*cols)
+        self.df = base.join(F.broadcast(one))  # one row
+        self.pool = (base, cols, self.df)
         return F.col(name)
 
     def over_order(self, col: Column, frame: tuple[int, int] | None = None, partition: tuple[Column, ...] = (), own_order: list[Column] | None = None) -> Column:
