@@ -308,7 +308,7 @@ def container_scores(page: Page) -> dict[int, float]:
 def depths_of(page: Page, paths) -> dict[int, int]:
     """How deep each of the paths lies."""
     depth = {page.elements[0]: 0}
-    found = {}
+    found = {0: 0} if 0 in paths else {}
     for e in page.elements[1:]:
         depth[e] = depth.get(e.parent, 0) + 1
         if e.path in paths:
