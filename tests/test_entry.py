@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from verbena.plans.queries import QUERIES, SQL
+from verbena.plans.operations import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -61,4 +61,4 @@ WHOLE = {"select_predicates": ("lineitem", 1), "raw_sql": ("orders", 1), "join_r
 @pytest.mark.parametrize("name", sorted(WHOLE))
 def test_whole_tables_are_read(spark, con, name):
     table, times = WHOLE[name]
-    assert QUERIES[f"{name}_whole"](spark, SF).count() == times * con.sql(f"SELECT count(*) FROM {table}").fetchall()[0][0]
+    assert QUERIES[name](spark, SF).count() == times * con.sql(f"SELECT count(*) FROM {table}").fetchall()[0][0]

@@ -329,3 +329,27 @@ def test_streams(spark, tmp_path):
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         assert (v.tbl(stream) >> v.mutate(y=_.x + 1) >> v.group_by(s=v.session_window(_.ts, "1 hour")) >> v.summarize(n=v.n(_))).df.isStreaming
+
+
+def test_ungrouped_aggregates_share_one_pass(spark):
+    import verbena as v
+    from verbena import _
+
+    t = v.tbl(spark, "/root/testdata/sf0.001/lineitem.parquet")
+    q = _.l_quantity
+    out = t >> v.mutate(a=q.mean(), b=_.l_tax.mean(), c=_.l_discount.std(), d=q.max(), e=q.min(), f=(q - q.mean()) / q.std())
+    assert out.to_spark()._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    rows = out.to_spark().toPandas()
+    assert abs(rows["f"].mean()) < 1e-9 and abs(rows["f"].std() - 1) < 1e-9
+    nested = (t >> v.mutate(m=(q - q.mean()).abs().mean(), m2=_.m + q.max())).to_spark().toPandas()
+    x = nested["l_quantity"]
+    assert abs(nested["m"][0] - (x - x.mean()).abs().mean()) < 1e-9 and abs(nested["m2"][0] - nested["m"][0] - x.max()) < 1e-9
+
+
+def test_whole_numbers_divide_exactly(spark):
+    import verbena as v
+    from verbena import _
+
+    pairs = [(x, y) for x in (9007199254740993, -9007199254740993, 7, -7, 0) for y in (3, -3, 10)]
+    got = (v.tbl(spark.createDataFrame(pairs, "x long, y long")) >> v.mutate(d=_.x // _.y, m=_.x % _.y)).to_spark().collect()
+    assert all((r["d"], r["m"]) == divmod(r["x"], r["y"]) for r in got)
