@@ -216,13 +216,46 @@ def test_nearest_is_exact():
     dense = np.zeros((700, 90))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
-    index = toxicity.BlockMaxIndex(vectors, 90)
-    for q in range(60):
-        cosines = dense @ dense[q]
-        cosines[q] = 0
-        want = [i for i in np.lexsort((np.arange(700), -cosines.round(12)))[:15] if cosines[i] > 0]
-        got, c = index.nearest(vectors[q], 15, q)
-        assert got.tolist() == want and np.allclose(c, cosines[want])
+    for share in (0.0, 0.05, 2.0):  # all lists long, some, none
+        index = toxicity.BlockMaxIndex(vectors, 90, share)
+        got = index.nearest(vectors[:60], 15, np.arange(60))
+        for q in range(60):
+            cosines = dense @ dense[q]
+            cosines[q] = 0
+            want = [i for i in np.lexsort((np.arange(700), -cosines.round(12)))[:15] if cosines[i] > 0]
+            assert got[q][0].tolist() == want and np.allclose(got[q][1], cosines[want])
+
+
+def test_toxicity_equals_brute_force(spark):
+    """Term weights, cosines, votes and calibration of all documents, each written out anew."""
+    import math
+
+    docs, labels = toxic_corpus(spark)
+    texts = {r["doc_id"]: Counter(w for w in (x.strip(toxicity.EDGE) for x in r["text"].lower().split()) if w) for r in docs.collect()}
+    label = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    n, m, n1 = len(texts), len(label), sum(label.values())
+    held = {w for i in label for w in texts[i]}
+
+    def weight(w):
+        if w not in held:
+            return toxicity.FLOOR * math.log(n + 1)
+        both, a = sum(w in texts[i] for i in label), sum(w in texts[i] for i in label if label[i])
+        chi2 = m * (a * (m - n1) - (both - a) * n1) ** 2 / (n1 * (m - n1) * max(both, 0.5) * max(m - both, 0.5))
+        return math.log((n + 1) / (sum(w in t for t in texts.values()) + 1)) * (toxicity.FLOOR + math.sqrt(min(1, max(chi2 - toxicity.CHANCE, 0) / m)))
+
+    table = {w: weight(w) for w in {w for t in texts.values() for w in t}}
+    vectors = {i: {w: (1 + math.log(c)) * table[w] for w, c in t.items()} for i, t in texts.items()}
+    norm = {i: math.sqrt(sum(x * x for x in v.values())) for i, v in vectors.items()}
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+
+    def raw(i, skip):
+        cosines = sorted(((sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()) / norm[i] / norm[j], j) for j in label if j != skip), reverse=True)[:15]
+        votes = [(c**2 / (1.05 - min(c, 1)), label[j]) for c, j in cosines if c > 0]
+        return (sum(v * y for v, y in votes) + toxicity.PRIOR_WEIGHT * n1 / m) / (sum(v for v, _ in votes) + toxicity.PRIOR_WEIGHT)
+
+    curve = toxicity.isotonic(np.array([raw(i, i) for i in label]), np.array([label[i] for i in label], float), np.ones(m))
+    for i in texts:
+        assert abs(got[i]["score"] - np.interp(raw(i, None), *curve)) < 1e-6
 
 
 def test_isotonic_rises():

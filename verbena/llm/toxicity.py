@@ -5,9 +5,10 @@ frequency, which covers all documents, times ``FLOOR`` plus its tie to the label
 chi-squared exceeds chance by, over the number of examples): every term of every example counts, ties only weigh more.
 Terms that no example has weigh ``FLOOR`` at the greatest inverse frequency and enter a text's norm alone.
 
-Examples lie in blocks of ``BLOCK``. A query reads the postings of its short lists whole; of the terms in more than
-``LONG_LIST`` examples it first reads the greatest weight in each block. Blocks whose bound (the best sum so far and those greatest
-weights) can't reach the k-th best sum are left, the others' long lists are read, so the neighbours are exact. Neighbours vote with
+Examples lie in blocks of ``BLOCK``. A query reads the postings of its terms whole but for those in a large share of the examples
+(``LONG_SHARE``): of these it first takes the greatest weight in each block. Blocks whose bound (their best sum so far and those
+greatest weights) can't reach the k-th best sum are left, in the others the long lists are read, so the neighbours are exact.
+Texts are looked up ``BATCH`` at a time, so that a block's lists are read once for all that need it. Neighbours vote with
 weights that rise as the distance falls, and isotonic regression on leave-one-out votes of the examples makes the vote a
 calibrated probability; the neighbours and heaviest terms are the evidence.
 
@@ -31,13 +32,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm.shared import documents_of, joined, materialize, text_groups, word_codes, word_spans
+from verbena.llm.shared import documents_of, joined, materialize, shuffle_partitions, text_groups, word_codes, word_spans
 
 FOLDS = 5
 MAX_EXAMPLES = 4000
 #: Weight of a term without a tie to the label, and the chi-squared that is put down to chance.
 FLOOR, CHANCE = 0.05, 8.0
-NEIGHBOURS, BLOCK, LONG_LIST = 15, 64, 128
+NEIGHBOURS, BLOCK, LONG_SHARE = 15, 64, 0.125
+#: Texts that are looked up together, and bytes of text whose terms are counted together.
+BATCH, GROUP_BYTES = 16, 4 << 20
 #: Votes that stand for no neighbour: a text with one faint neighbour leans on this.
 PRIOR_WEIGHT = 0.05
 #: Terms whose counts travel in one row, and different texts' scores that a worker remembers.
@@ -93,59 +96,71 @@ def weigh(vector: tuple[np.ndarray, np.ndarray, float], scale: np.ndarray, stran
     return term, w / max(1e-12, np.sqrt(w @ w + others * strange**2))
 
 
+Vector = tuple[np.ndarray, np.ndarray]
+
+
 class BlockMaxIndex:
-    """Weighted examples in blocks, with the greatest weight of each long list in each block."""
+    """Weighted examples in blocks; long lists lie dense, with their greatest weight in each block."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, long_list: int = LONG_LIST):
+    def __init__(self, vectors: list[Vector], n_terms: int, long_share: float = LONG_SHARE):
         n = len(vectors)
         self.n, self.blocks = n, -(-n // BLOCK)
+        self.width = self.blocks * BLOCK
         example = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
         term = np.concatenate([t for t, _ in vectors]) if n else np.empty(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if n else np.empty(0)
+        size = np.bincount(term, minlength=n_terms)
+        long = np.flatnonzero(size > max(1, long_share * n))
+        self.row = np.full(n_terms, -1, np.int32)  # a long list's row in ``dense``
+        self.row[long] = np.arange(len(long))
+        own = self.row[term] >= 0
+        self.dense = np.zeros((len(long), self.width))
+        self.dense[self.row[term[own]], example[own]] = weight[own]
+        self.most = self.dense.reshape(len(long), self.blocks, BLOCK).max(2) if n else np.zeros((len(long), 0))
+        term, example, weight = term[~own], example[~own], weight[~own]
         order = np.lexsort((example, term))
         self.example, self.weight = example[order].astype(np.int32), weight[order]
         self.start = np.searchsorted(term[order], np.arange(n_terms + 1))
-        size = np.diff(self.start)
-        long = np.flatnonzero(size > long_list)
-        self.row = np.full(n_terms, -1, np.int32)  # a long list's row in ``most``
-        self.row[long] = np.arange(len(long))
-        row, most = self.row[term], np.zeros((len(long), max(1, self.blocks)))
-        own = row >= 0
-        np.maximum.at(most, (row[own], example[own] // BLOCK), weight[own])
-        self.most = most
-
-    def add(self, total: np.ndarray, term: np.ndarray, weight: np.ndarray, live: np.ndarray | None = None) -> None:
-        """Add the terms' products to the sums, of the examples in the live blocks only."""
-        size = self.start[term + 1] - self.start[term]
-        at = np.repeat(self.start[term] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        example, product = self.example[at], np.repeat(weight, size) * self.weight[at]
-        if live is not None:
-            keep = live[example // BLOCK]
-            example, product = example[keep], product[keep]
-        total += np.bincount(example, product, len(total))
-
-    def nearest(self, query: tuple[np.ndarray, np.ndarray], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine above 0 (ties: the earlier example), without example ``skip``."""
-        term, weight = query
-        if not len(term) or not self.n:
-            return np.empty(0, np.int64), np.empty(0)
-        total = np.zeros(self.blocks * BLOCK)
-        long = self.row[term] >= 0
-        self.add(total, term[~long], weight[~long])
-
-        def kth() -> float:
-            if skip >= 0:
-                total[skip] = 0
-            hit = total[total > 0]
-            return np.partition(hit, len(hit) - k)[len(hit) - k] if len(hit) > k else 0.0
-
-        if long.any():
-            bound = total.reshape(-1, BLOCK).max(1) + weight[long] @ self.most[self.row[term[long]]]
-            self.add(total, term[long], weight[long], bound + 1e-12 >= kth())
+
+    def nearest(self, queries: list[Vector], k: int, skip: np.ndarray | None = None) -> list[Vector]:
+        """For each query the k examples of greatest cosine above 0 (ties: the earlier example), without example ``skip``."""
+        out: list[Vector] = []
+        for i in range(0, len(queries), BATCH):
+            out += self.nearest_of_batch(queries[i : i + BATCH], k, None if skip is None else skip[i : i + BATCH])
+        return out
+
+    def nearest_of_batch(self, queries: list[Vector], k: int, skip: np.ndarray | None) -> list[Vector]:
+        m, width = len(queries), self.width
+        if not self.n:
+            return [(np.empty(0, np.int64), np.empty(0))] * m
+        query = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        term, weight = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
+        size = self.start[term + 1] - self.start[term]  # none for the long lists
+        at = np.repeat(self.start[term] - (np.cumsum(size) - size), size)
+        at += np.arange(len(at))
+        total = np.bincount(np.repeat(query * width, size) + self.example[at], np.repeat(weight, size) * self.weight[at], m * width).astype(float, copy=False).reshape(m, width)
+
+        def kth() -> np.ndarray:
+            if skip is not None:
+                total[np.arange(m), skip] = 0
+            return np.partition(total, width - k, axis=1)[:, width - k] if width > k else np.zeros(m)
+
+        own = self.row[term] >= 0
+        if own.any():
+            long = np.zeros((m, len(self.dense)))
+            long[query[own], self.row[term[own]]] = weight[own]
+            bound = total.reshape(m, self.blocks, BLOCK).max(2) + long @ self.most
+            live = bound + 1e-12 >= kth()[:, None]
+            for b in np.flatnonzero(live.any(0)).tolist():
+                who, place = np.flatnonzero(live[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                total[who, place] += long[who] @ self.dense[:, place]
         least = kth()
-        hit = np.flatnonzero(total + 1e-12 >= max(least, 2e-12)) if least else np.flatnonzero(total > 0)
-        best = np.lexsort((hit, -total[hit].round(12)))[:k]
-        return hit[best], total[hit[best]]
+        out = []
+        for row, edge in zip(total, least.tolist(), strict=True):
+            hit = np.flatnonzero(row + 1e-12 >= edge) if edge > 2e-12 else np.flatnonzero(row > 0)
+            best = hit[np.lexsort((hit, -row[hit].round(12)))[:k]]
+            out.append((best, row[best]))
+        return out
 
 
 def vote(labels: np.ndarray, got: np.ndarray, cosines: np.ndarray, weights: np.ndarray, prior: float) -> float:
@@ -186,34 +201,24 @@ class Model:
         self.index = BlockMaxIndex(self.vectors, len(terms))
         w = self.weights
         self.prior = float((w @ self.labels) / w.sum()) if len(w) else 0.0
-        votes = np.array([self.raw(v, skip=i) for i, v in enumerate(self.vectors)])
+        got = self.index.nearest(self.vectors, NEIGHBOURS, np.arange(len(examples)))
+        votes = np.array([vote(self.labels, a, c, self.weights, self.prior) if len(a) else np.nan for a, c in got])
         self.vectors = []
         seen = ~np.isnan(votes)
         self.curve = isotonic(votes[seen], self.labels[seen], w[seen]) if seen.any() else (np.zeros(1), np.zeros(1))
 
-    def raw(self, v: tuple[np.ndarray, np.ndarray], skip: int = -1) -> float:
-        got, cosines = self.index.nearest(v, NEIGHBOURS, skip)
-        return vote(self.labels, got, cosines, self.weights, self.prior) if len(got) else np.nan
-
-    def score(self, counts: tuple[np.ndarray, np.ndarray, float]) -> tuple[float, list[int], list[str]]:
-        """(calibrated score, ids of the nearest examples, the text's heaviest terms)."""
-        v = weigh(counts, self.scale, self.strange)
-        got, cosines = self.index.nearest(v, NEIGHBOURS)
-        if not len(got):
-            return self.prior, [], []
-        x = vote(self.labels, got, cosines, self.weights, self.prior)
-        top = np.argsort(-v[1], kind="stable")[:5]
-        return float(np.clip(np.interp(x, *self.curve), 0, 1)), self.ids[got[:5]].tolist(), self.terms.take(pa.array(v[0][top])).to_pylist()
-
-    def scores(self, vectors: Vectors, texts: list[bytes], known: dict) -> list[tuple[float, list[int], list[str]]]:
-        """``score`` of each text; equal texts are scored once."""
-        new = list({t: None for t in texts if t not in known})
-        if len(known) + len(new) > KNOWN:
-            known.clear()
-            new = list(dict.fromkeys(texts))
-        for t, v in zip(new, vectors.of(new), strict=True):
-            known[t] = self.score(v)
-        return [known[t] for t in texts]
+    def scores(self, counts: list[tuple[np.ndarray, np.ndarray, float]]) -> list[tuple[float, list[int], list[str]]]:
+        """(calibrated score, ids of the nearest examples, the text's heaviest terms) of each text."""
+        vectors = [weigh(x, self.scale, self.strange) for x in counts]
+        out = []
+        for (term, weight), (got, cosines) in zip(vectors, self.index.nearest(vectors, NEIGHBOURS), strict=True):
+            if not len(got):
+                out.append((self.prior, [], []))
+                continue
+            x = vote(self.labels, got, cosines, self.weights, self.prior)
+            top = term[np.argsort(-weight, kind="stable")[:5]]
+            out.append((float(np.clip(np.interp(x, *self.curve), 0, 1)), self.ids[got[:5]].tolist(), [self.terms[i].as_py() for i in top.tolist()]))
+        return out
 
 
 def ties(n_terms: int, terms: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
@@ -240,34 +245,69 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> tuple[Dat
     return sample, tuple(max(1.0, total.get(side, 0) / bound) for side in (0, 1))
 
 
-def examples_of(sample: DataFrame) -> list[tuple[int, int, list[str], np.ndarray]]:
-    """(doc_id, toxic, terms, counts) of the examples' whole texts."""
+def packed(table: pa.Table) -> bytes:
+    """A table as compressed Arrow bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def examples_of(sample: DataFrame) -> tuple[pa.Array, list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """(terms, examples): all terms of the examples' whole texts, sorted, and (doc_id, toxic, terms' places, counts) of each example."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for at, texts in text_groups(part.column(2)):
+            for at, texts in text_groups(part.column(2), GROUP_BYTES):
                 terms, doc, term, count = term_counts(texts)
-                cut = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
-                words = pa.ListArray.from_arrays(cut, terms.take(pa.array(term)))
-                numbers = pa.ListArray.from_arrays(cut, pa.array(count, pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(at, len(texts)), part.column(1).slice(at, len(texts)), words, numbers], ["doc_id", "toxic", "terms", "counts"])
+                ids, toxic = (part.column(c).slice(at, len(texts)) for c in (0, 1))
+                cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+                own = pa.table({"doc_id": ids, "toxic": toxic, "n": np.diff(cut)})
+                flat = pa.table({"term": terms.take(pa.array(term)), "count": count.astype(np.int32)})
+                yield pa.RecordBatch.from_arrays([pa.array([packed(own)], pa.binary()), pa.array([packed(flat)], pa.binary())], ["own", "flat"])
+
+    rows = sample.select("doc_id", "toxic", "text").mapInArrow(run, "own binary, flat binary").collect()  # at most 2 * MAX_EXAMPLES texts' terms
+    both = [[pa.ipc.open_stream(r[c]).read_all() for r in rows] for c in ("own", "flat")]
+    if not rows:
+        return pa.array([], pa.string()), []
+    own, flat = (pa.concat_tables(x) for x in both)
+    terms = flat.column("term").unique()
+    terms = terms.take(pc.sort_indices(terms))
+    place = pc.index_in(flat.column("term"), value_set=terms).to_numpy().astype(np.int64)
+    count, ends = flat.column("count").to_numpy().astype(np.int64), np.cumsum(own.column("n").to_numpy())
+    examples = []
+    for doc, toxic, n, end in zip(own.column("doc_id").to_pylist(), own.column("toxic").to_pylist(), own.column("n").to_pylist(), ends.tolist(), strict=True):
+        at = place[end - n : end]
+        order = np.argsort(at)
+        examples.append((doc, toxic, at[order], count[end - n : end][order]))
+    return terms, sorted(examples, key=lambda e: (e[0], e[1], len(e[2])))
+
+
+def document_vectors(docs: DataFrame, terms: pa.Array) -> DataFrame:
+    """(doc_id, terms, counts, others) of every whole text, written once: frequencies and scores both read it."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)  # bounded by the examples' texts
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = Vectors(shared.value)
+        for part in parts:
+            for at, texts in text_groups(part.column(1), GROUP_BYTES):
+                v = vectors.of(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(at, len(v)), pa.array([t.astype(np.int32).tobytes() for t, _, _ in v], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c, _ in v], pa.binary()), pa.array([x for _, _, x in v], pa.float64())], ["doc_id", "terms", "counts", "others"])
+
+    return materialize(documents_of(docs).mapInArrow(run, "doc_id long, terms binary, counts binary, others double"), "term-vectors")
+
 
-    found = sample.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<string>, counts array<long>")
-    got = found.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])  # at most 2 * MAX_EXAMPLES rows
-    return list(zip(*(got.column(c).to_pylist() for c in range(4)), strict=True))
+def numbers(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int32).astype(np.int64) for x in column.to_pylist()]
 
 
-def document_frequencies(docs: DataFrame, terms: pa.Array) -> tuple[np.ndarray, int]:
+def document_frequencies(vectors: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
     """In how many of all documents each term is, and how many documents there are."""
-    n_terms = len(terms)
-    shared = docs.sparkSession.sparkContext.broadcast(terms)  # bounded by the examples' texts
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, vectors = np.zeros(n_terms + 1, np.int64), Vectors(shared.value)
+        seen = np.zeros(n_terms + 1, np.int64)
         for part in parts:
-            for _, texts in text_groups(part.column(0)):
-                for term, _, _ in vectors.of(texts):
-                    seen[term] += 1
+            seen[:-1] += np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), np.int32), minlength=n_terms)
             seen[-1] += part.num_rows
         if seen[-1]:
             chunks = range(0, n_terms + 1, CHUNK_TERMS)
@@ -277,60 +317,64 @@ def document_frequencies(docs: DataFrame, terms: pa.Array) -> tuple[np.ndarray,
         total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
         return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    rows = documents_of(docs).select("text").mapInArrow(count, "chunk long, counts binary").groupBy("chunk").applyInArrow(add, "chunk long, counts binary")
+    rows = vectors.select("terms").mapInArrow(count, "chunk long, counts binary").groupBy("chunk").applyInArrow(add, "chunk long, counts binary")
     out = np.zeros(n_terms + 1, np.int64)
     for r in rows.collect():  # a number for each term
         out[r["chunk"] : r["chunk"] + CHUNK_TERMS] = np.frombuffer(r["counts"], np.int64)
     return out[:-1], int(out[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> tuple[Model, DataFrame]:
+    """The model, and the term vectors of all documents."""
     sample, class_weight = labelled_sample(docs, labels, max_examples)
-    found = examples_of(sample)
-    terms = pa.array(sorted({t for e in found for t in e[2]}), pa.string())
-    place = {t: i for i, t in enumerate(terms.to_pylist())}
-    frequency, n = document_frequencies(docs, terms)
-    examples = []
-    for doc, toxic, own, count in found:
-        at = np.array([place[t] for t in own], np.int64)
-        order = np.argsort(at)
-        examples.append((doc, toxic, at[order], np.array(count, np.int64)[order]))
-    return Model(terms, frequency, n, examples, class_weight)
+    terms, examples = examples_of(sample)
+    everything = document_vectors(docs, terms)
+    frequency, n = document_frequencies(everything, len(terms))
+    return Model(terms, frequency, n, examples, class_weight), everything
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, neighbours, terms) of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scored(everything: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score, neighbours, terms) from the term vectors of every whole text; equal vectors are scored once in a worker."""
+    spark = everything.sparkSession
+    shared = spark.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value, {}
-        vectors = Vectors(m.terms)
         for part in parts:
-            for at, texts in text_groups(part.column(1)):
-                out = m.scores(vectors, texts, known)
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(at, len(texts)), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.string()))], ["doc_id", "score", "neighbours", "terms"])
+            keys = list(zip(*(part.column(c).to_pylist() for c in (1, 2, 3)), strict=True))
+            new = list(dict.fromkeys(k for k in keys if k not in known))
+            if len(known) + len(new) > KNOWN:
+                known.clear()
+                new = list(dict.fromkeys(keys))
+            vectors = [(np.frombuffer(t, np.int32).astype(np.int64), np.frombuffer(c, np.int32).astype(np.int64), x) for t, c, x in new]
+            known |= zip(new, m.scores(vectors), strict=True)
+            out = [known[k] for k in keys]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.string()))], ["doc_id", "score", "neighbours", "terms"])
 
-    return documents_of(docs).mapInArrow(run, "doc_id long, score double, neighbours array<long>, terms array<string>")
+    # the vector files are small: deal them anew, or a few tasks would do all lookups
+    dealt = everything.repartition(max(shuffle_partitions(spark), everything.rdd.getNumPartitions()))
+    return dealt.mapInArrow(run, "doc_id long, score double, neighbours array<long>, terms array<string>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """Scores and verdicts of all documents, with evidence."""
-    found = scored(docs, fit(docs, labels, max_examples))
+    model, everything = fit(docs, labels, max_examples)
+    found = scored(everything, model)
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "neighbours", "terms")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose text scores below 0.5."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_examples))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_examples)[0])
     place = docs.columns.index("text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value, {}
+        m = shared.value
         vectors = Vectors(m.terms)
         for part in parts:
             good: list[bool] = []
-            for _, texts in text_groups(pc.fill_null(part.column(place), "")):
-                good += [x[0] < 0.5 for x in m.scores(vectors, texts, known)]
+            for _, texts in text_groups(pc.fill_null(part.column(place), ""), GROUP_BYTES):
+                good += [x[0] < 0.5 for x in m.scores(vectors.of(texts))]
             yield part.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
