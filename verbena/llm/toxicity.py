@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -283,8 +284,21 @@ def examples_of(sample: DataFrame) -> tuple[pa.Array, list[tuple[int, int, np.nd
     return terms, sorted(examples, key=lambda e: (e[0], e[1], len(e[2])))
 
 
+def packed_vectors(vectors: list[tuple[np.ndarray, np.ndarray, float]]) -> pa.Array:
+    """Each text's terms, as steps, and counts in a compressed string."""
+    squeeze = zstandard.ZstdCompressor(level=1)
+    return pa.array([squeeze.compress(np.concatenate((np.diff(t, prepend=0), c)).astype("<i4").tobytes()) for t, c, _ in vectors], pa.binary())
+
+
+def unpacked(data: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The terms and counts of each text."""
+    expand = zstandard.ZstdDecompressor()
+    both = [np.frombuffer(expand.decompress(x), "<i4").astype(np.int64).reshape(2, -1) for x in data]
+    return [(np.cumsum(steps), count) for steps, count in both]
+
+
 def document_vectors(docs: DataFrame, terms: pa.Array) -> DataFrame:
-    """(doc_id, terms, counts, others) of every whole text, written once: frequencies and scores both read it."""
+    """(doc_id, vector, others) of every whole text, written once: frequencies and scores both read it."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)  # bounded by the examples' texts
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,13 +306,9 @@ def document_vectors(docs: DataFrame, terms: pa.Array) -> DataFrame:
         for part in parts:
             for at, texts in text_groups(part.column(1), GROUP_BYTES):
                 v = vectors.of(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(at, len(v)), pa.array([t.astype(np.int32).tobytes() for t, _, _ in v], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c, _ in v], pa.binary()), pa.array([x for _, _, x in v], pa.float64())], ["doc_id", "terms", "counts", "others"])
-
-    return materialize(documents_of(docs).mapInArrow(run, "doc_id long, terms binary, counts binary, others double"), "term-vectors")
-
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(at, len(v)), packed_vectors(v), pa.array([x for _, _, x in v], pa.float64())], ["doc_id", "vector", "others"])
 
-def numbers(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.int32).astype(np.int64) for x in column.to_pylist()]
+    return materialize(documents_of(docs).mapInArrow(run, "doc_id long, vector binary, others double"), "term-vectors")
 
 
 def document_frequencies(vectors: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
@@ -307,7 +317,8 @@ def document_frequencies(vectors: DataFrame, n_terms: int) -> tuple[np.ndarray,
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(n_terms + 1, np.int64)
         for part in parts:
-            seen[:-1] += np.bincount(np.frombuffer(b"".join(part.column(0).to_pylist()), np.int32), minlength=n_terms)
+            for term, _ in unpacked(part.column(0).to_pylist()):
+                seen[term] += 1
             seen[-1] += part.num_rows
         if seen[-1]:
             chunks = range(0, n_terms + 1, CHUNK_TERMS)
@@ -317,7 +328,7 @@ def document_frequencies(vectors: DataFrame, n_terms: int) -> tuple[np.ndarray,
         total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
         return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    rows = vectors.select("terms").mapInArrow(count, "chunk long, counts binary").groupBy("chunk").applyInArrow(add, "chunk long, counts binary")
+    rows = vectors.select("vector").mapInArrow(count, "chunk long, counts binary").groupBy("chunk").applyInArrow(add, "chunk long, counts binary")
     out = np.zeros(n_terms + 1, np.int64)
     for r in rows.collect():  # a number for each term
         out[r["chunk"] : r["chunk"] + CHUNK_TERMS] = np.frombuffer(r["counts"], np.int64)
@@ -341,12 +352,12 @@ def scored(everything: DataFrame, model: Model) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value, {}
         for part in parts:
-            keys = list(zip(*(part.column(c).to_pylist() for c in (1, 2, 3)), strict=True))
+            keys = list(zip(*(part.column(c).to_pylist() for c in (1, 2)), strict=True))
             new = list(dict.fromkeys(k for k in keys if k not in known))
             if len(known) + len(new) > KNOWN:
                 known.clear()
                 new = list(dict.fromkeys(keys))
-            vectors = [(np.frombuffer(t, np.int32).astype(np.int64), np.frombuffer(c, np.int32).astype(np.int64), x) for t, c, x in new]
+            vectors = [(*v, x) for v, (_, x) in zip(unpacked([k for k, _ in new]), new, strict=True)]
             known |= zip(new, m.scores(vectors), strict=True)
             out = [known[k] for k in keys]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.string()))], ["doc_id", "score", "neighbours", "terms"])
