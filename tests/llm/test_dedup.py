@@ -100,15 +100,80 @@ def test_substring_dedup_overlapping_sources(spark, monkeypatch):
     assert collect(substring_dedup.substring_dedup(frame(spark, texts)), "doc_id", "n_words", "n_removed", "kept_sha256") == want_words(docs)
 
 
-def test_substring_dedup_survives_key_collisions(spark, monkeypatch):
-    """With keys of 14 bits unlike windows share keys: verification must keep their words."""
+@pytest.mark.parametrize("key_bits", [6, 14])
+def test_substring_dedup_is_exact_with_key_collisions(spark, monkeypatch, key_bits):
+    """With keys of few bits unlike windows share keys: the words decide all the same."""
     monkeypatch.setattr(shared, "BATCH_BYTES", 600)
     texts = corpus(4, 60)
     docs = [(i, (t or "").encode()) for i, t in enumerate(texts)]
-    want = {r[0]: r[2] for r in want_words(docs)}
-    got = {r[0]: r[1] for r in collect(substring_dedup.substring_dedup(frame(spark, texts), key_bits=14), "doc_id", "n_removed")}
-    assert all(got[i] <= want[i] for i in want)
-    assert sum(got.values()) > 0.8 * sum(want.values())
+    got = collect(substring_dedup.substring_dedup(frame(spark, texts), key_bits=key_bits), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == want_words(docs)
+
+
+def test_hidden_branches_are_found(spark, monkeypatch):
+    """Branches that the short forms hide: then paths fail at their source and their edges are looked up one by one."""
+    monkeypatch.setattr(shared, "BATCH_BYTES", 300)
+    rng = np.random.default_rng(8)
+    middle = " ".join(f"m{i}" for i in range(40))
+    texts = []
+    for i in range(60):
+        before, after = (" ".join(f"{side}{x}" for x in range(25)) for side in (f"b{i % 20}x", f"a{rng.integers(0, 20)}x"))
+        texts.append(f"{before} {middle} {after}")
+    docs = [(i, t.encode()) for i, t in enumerate(texts)]
+    assert collect(substring_dedup.substring_dedup(frame(spark, texts)), "doc_id", "n_words", "n_removed", "kept_sha256") == want_words(docs)
+    e = substring_dedup.edges(np.array([len(texts[0])]), texts[0].encode())
+    assert (substring_dedup.short_forms(e.after, *np.unique(e.key, return_index=True, return_inverse=True)[1:]) == substring_dedup.NONE).sum() == 1
+
+
+def test_paths_carry_their_sources_place(spark, monkeypatch):
+    monkeypatch.setattr(shared, "BATCH_BYTES", 1)
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = frame(spark, ["one two " + passage + " end", "x " + passage, passage + " y z", "alone " * 5])
+    batches = shared.batch_table(docs, "words")
+    bounds = shared.bucket_bounds(4)
+    asked = shared.ask(batches, substring_dedup.ask_edges(bounds, 64))
+    paths = shared.materialize(substring_dedup.path_rows(shared.answers_by_batch(batches, shared.answer(asked, 1, substring_dedup.degrees)), bounds, 64), "paths")
+    assert [tuple(r) for r in substring_dedup.repeated_paths(paths).collect()] == [(0, 2, 30, 2)]
+    assert substring_dedup.unverified(paths).isEmpty()
+
+
+def test_one_id_fills_many_batches(spark, monkeypatch):
+    """A table of null ids only: no batch holds more than its share, and the results are those of one batch."""
+    monkeypatch.setattr(shared, "BATCH_BYTES", 2000)
+    monkeypatch.setattr(shared, "EXCHANGE_BYTES", 3000)
+    texts = [t for t in corpus(7, 40) if t is not None]
+    docs = frame(spark, texts, [None] * len(texts))
+    sizes = [r["size"] for r in shared.batch_table(docs, "test").select("size").collect()]
+    assert len(sizes) > 3 and sum(sizes) == sum(len(t.encode()) for t in texts) and max(sizes) < 2000 + max(len(t.encode()) for t in texts)
+    assert {r[1] for r in collect(suffix_dedup.suffix_dedup(docs), "doc_id", "n_removed")} == {0}
+    lost = sum(r["n_removed"] for r in substring_dedup.substring_dedup(docs).collect())
+    monkeypatch.setattr(shared, "BATCH_BYTES", 1 << 20)
+    assert lost == sum(r["n_removed"] for r in substring_dedup.substring_dedup(docs).collect()) > 300
+
+
+@pytest.mark.parametrize("run", [suffix_dedup.suffix_dedup, substring_dedup.substring_dedup])
+def test_very_long_texts(spark, run):
+    """Two texts of over a megabyte that share their second half."""
+    rng = np.random.default_rng(2)
+    half = " ".join(f"h{i}" for i in rng.integers(0, 1 << 20, 100_000))
+    texts = [" ".join(f"{c}{i}" for i in rng.integers(0, 1 << 20, 60_000)) + " " + half for c in "ab"]
+    got = collect(run(frame(spark, texts)), "doc_id", "n_removed")
+    assert got[0] == (0, 0) and got[1] == (1, 100_000 if run is substring_dedup.substring_dedup else len(half) + 1)
+
+
+def test_without_repeats_keeps_types(spark):
+    """All kinds of columns go through unchanged: times to the microsecond, maps with number keys, names that clash."""
+    import datetime
+
+    passage = " ".join(f"p{i}" for i in range(30))
+    schema = "doc_id int, when timestamp, n_words map<int, array<double>>, text string, raw binary, carry struct<a: date>"
+    rows = [(i, datetime.datetime(2024, 1, 1, 0, 0, 0, 123456 + i), {i: [0.5, None]}, f"{i} " * (i % 2) + passage, b"\x00\xff", (datetime.date(2020, 2, 29),)) for i in range(2)]
+    docs = spark.createDataFrame(rows, schema)
+    out = substring_dedup.without_repeats(docs)
+    assert out.schema == docs.schema or [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+    want = [r.asDict() for r in docs.collect()]
+    want[1]["text"] = "1"
+    assert [r.asDict() for r in out.orderBy("doc_id").collect()] == want
 
 
 def test_without_repeats_keeps_rows_and_columns(spark):

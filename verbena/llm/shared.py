@@ -1,15 +1,15 @@
 """What several operators share: scratch tables, text batches, word hashing and the bucket exchange.
 
-Scratch data goes to the folder in ``spark.checkpoint.dir``; only where that is unset (tests) is a
-temporary folder made. Nothing here uses the executors' own disks.
+Scratch data goes to the folder in ``spark.checkpoint.dir``; only where that is unset in a local session (tests) is a
+temporary folder made. Nothing here uses the executors' own disks. ``sweep_scratch`` deletes what is no longer needed.
 """
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +20,18 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Raw text bytes in one packed batch: bounds the memory of a Python worker.
 BATCH_BYTES = 2 << 20
-#: Distinct shuffle buckets for each shuffle partition.
-BUCKETS_PER_PARTITION = 2
+#: Text bytes whose keys meet in one task of an exchange, and buckets that such a task works through one by one.
+EXCHANGE_BYTES, BUCKETS_PER_TASK = 16 << 20, 4
+#: Scratch folders and tables that this session has made.
+MADE: list[tuple[str, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="verbena-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -38,9 +42,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    MADE.append(("path", path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep_scratch(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the scratch folders and tables made after the first ``since``, but for those whose names begin with one of ``keep``."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    left = []
+    for kind, name in MADE[since:]:
+        if kind == "path" and name.rsplit("/", 1)[1].startswith(keep):
+            left.append((kind, name))
+            continue
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+    MADE[since:] = left
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -58,20 +79,21 @@ def text_bytes(column: pa.Array) -> Iterator[bytes]:
 
 # --- packed batches -----------------------------------------------------------------------------
 
-BATCH_SCHEMA = "batch long, ids binary, lens binary, body binary, carry binary"
+BATCH_SCHEMA = "batch long, size long, ids binary, lens binary, body binary, carry binary"
 
 
-def pack_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) rows in doc_id order to rows of about ``BATCH_BYTES``; equal doc_ids are never split.
+def pack_rows(parts: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, further columns) rows in order to rows of about ``batch_bytes``.
 
-    ``batch`` rises with doc_id over all partitions, since the partitions are ranges of doc_id.
+    ``batch`` rises with the rows' order over all partitions, since the partitions are ranges of it. A doc_id that many rows
+    share goes on over several batches and partitions.
     """
     from pyspark import TaskContext
 
     pid, seq = TaskContext.get().partitionId(), 0
     ids: list[int] = []
     texts: list[bytes] = []
-    carried: list[str | None] = []
+    carried: list[pa.RecordBatch] = []
     size = 0
     squeeze = zstandard.ZstdCompressor(level=3)
 
@@ -79,53 +101,74 @@ def pack_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal ids, texts, carried, size, seq
         row = pa.RecordBatch.from_pydict({
             "batch": pa.array([(pid << 32) | seq], pa.int64()),
+            "size": pa.array([size], pa.int64()),
             "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
             "lens": pa.array([np.array([len(x) for x in texts], np.int64).tobytes()], pa.binary()),
             "body": pa.array([squeeze.compress(b"".join(texts))], pa.binary()),
-            "carry": pa.array([squeeze.compress(json.dumps(carried).encode()) if any(carried) else None], pa.binary()),
+            "carry": pa.array([packed(pa.Table.from_batches(carried)) if carried and carried[0].num_columns else None], pa.binary()),
         })
         ids, texts, carried, size, seq = [], [], [], 0, seq + 1
         return row
 
     for part in parts:
-        for doc, text, more in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), part.column(2).to_pylist(), strict=True):
-            doc = -(1 << 63) if doc is None else doc
-            if size >= BATCH_BYTES and doc != ids[-1]:
+        more, begin = part.select(range(2, part.num_columns)), 0
+        for i, (doc, text) in enumerate(zip(part.column(0).to_pylist(), text_bytes(part.column(1)), strict=True)):
+            if size >= batch_bytes:
+                carried.append(more.slice(begin, i - begin))
+                begin = i
                 yield out()
-            ids.append(doc)
+            ids.append(NULL_ID if doc is None else doc)
             texts.append(text)
-            carried.append(more)
             size += len(text)
+        carried.append(more.slice(begin))
     if ids:
         yield out()
 
 
-def carried_of(data: bytes | None, n: int) -> list[str | None]:
-    """What each document of a batch carries along."""
-    return json.loads(zstandard.ZstdDecompressor().decompress(data)) if data else [None] * n
+#: Stands for a null doc_id in packed batches.
+NULL_ID = -(1 << 63)
+
+
+def packed(table: pa.Table) -> bytes:
+    """A table as compressed Arrow bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
 
 
 def unpack(ids: bytes, lens: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
     return np.frombuffer(ids, np.int64), np.frombuffer(lens, np.int64), zstandard.ZstdDecompressor().decompress(body)
 
 
-def batch_table(docs: DataFrame, name: str, carry: F.Column | None = None) -> DataFrame:
-    """All documents as packed batches in doc_id order, a table bucketed by ``batch``; ``carry`` is a string to take along.
+def batch_table(docs: DataFrame, name: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """All documents as packed batches in order of doc_id, then a hash of the text: a table bucketed by ``batch``; ``carry``
+    names columns to take along.
 
     The one shuffle of texts: later joins on ``batch`` read the buckets in place and shuffle only their small side.
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
-    carried = F.lit(None).cast("string") if carry is None else carry
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), carried.alias("carry"))
-    ordered = own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    packed = ordered.mapInArrow(pack_rows, BATCH_SCHEMA)
+    own = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.coalesce(F.col("text"), F.lit("")).alias("__text"), *[F.col(f"`{c}`") for c in carry])
+    order = [F.col("__doc"), F.xxhash64("__text")]
+    ordered = own.repartitionByRange(n, *order).sortWithinPartitions(*order, "__text")
     table = f"verbena_{name}_{uuid.uuid4().hex}"
-    (packed.write.format("parquet").option("compression", "none").option("path", f"{scratch_dir(spark)}/{table}")
+    (ordered.mapInArrow(partial(pack_rows, batch_bytes=BATCH_BYTES), BATCH_SCHEMA).write.format("parquet").option("compression", "none").option("path", f"{scratch_dir(spark)}/{table}")
      .bucketBy(n, "batch").saveAsTable(table))
+    MADE.extend([("table", table), ("path", f"{scratch_dir(spark)}/{table}")])
     return spark.table(table)
 
 
+def exchange_tasks(batches: DataFrame) -> int:
+    """How many tasks an exchange of the batches' keys takes: their number grows with the texts, not the share of each."""
+    size = batches.agg(F.sum("size").alias("n")).first()["n"] or 0
+    return max(1, -(-size // EXCHANGE_BYTES))
+
+
 def answers_by_batch(batches: DataFrame, answers: DataFrame, name: str = "answers") -> DataFrame:
     """Each packed batch with its answers ``struct(bucket, answer)`` as an array (null if it has none)."""
     grouped = answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "answer")).alias(name))
@@ -266,6 +309,20 @@ def sums_by(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 # --- questions to buckets, answers to batches -----------------------------------------------------
 
+def bucket_slices(keys: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(bucket, place of its keys) for each bucket that has any of the sorted keys: the work follows the keys, not the buckets."""
+    owner = np.searchsorted(bounds, keys, side="right") - 1
+    cut = np.append(np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), len(keys)) if len(keys) else np.zeros(1, np.int64)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield int(owner[a]), slice(a, b)
+
+
+def bucket_place(keys: np.ndarray, bounds: np.ndarray, bucket: int) -> slice:
+    """Where a bucket's keys lie among the sorted keys."""
+    low = int(np.searchsorted(keys, bounds[bucket]))
+    return slice(low, int(np.searchsorted(keys, bounds[bucket + 1])) if bucket + 1 < len(bounds) else len(keys))
+
+
 def ask(batches: DataFrame, fn, answer_columns: int = 0) -> DataFrame:
     """(bucket, batch, payload): what ``fn(ids, lens, body, *answers)`` has to ask for each packed batch.
 
@@ -282,12 +339,12 @@ def ask(batches: DataFrame, fn, answer_columns: int = 0) -> DataFrame:
     return batches.mapInArrow(run, "bucket int, batch long, payload binary")
 
 
-def answer(asked: DataFrame, fn) -> DataFrame:
-    """(batch, bucket, answer): ``fn(payloads)`` gives an answer for each payload of a bucket, in batch order."""
+def answer(asked: DataFrame, tasks: int, fn) -> DataFrame:
+    """(batch, bucket, answer): ``fn(payloads, batches)`` gives an answer for each payload of a bucket, in batch order."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("batch")
         out = fn(table.column("payload").to_pylist(), table.column("batch").to_numpy())
         return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "answer": pa.array(out, pa.binary())})
 
-    return asked.groupBy("bucket").applyInArrow(run, "batch long, bucket int, answer binary")
+    return asked.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(run, "batch long, bucket int, answer binary")

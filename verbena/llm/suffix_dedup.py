@@ -4,9 +4,9 @@ A byte goes if a ``WINDOW``-byte string over it also starts in a document of sma
 matter are sorted: every window is owned by the least-hashed ``ANCHOR``-byte string in it, so equal windows are owned by
 equal anchors at equal places. Round one deals the anchors' hashes into buckets and finds those that more than one
 document has. Round two deals the text around just those anchors; in each bucket its suffixes are put in order
-by deep-shallow sorting, and neighbours with a common prefix of a whole window are equal. The texts lie in
-batches in doc_id order, so the first batch of an equal run has the smaller ids and all later batches lose the window;
-inside a batch the documents are compared directly.
+by deep-shallow sorting, and neighbours with a common prefix of a whole window are equal. Each comes with the least doc_id that its
+batch has it in, and those with a greater one than the least of all lose the window; inside a batch the same sort decides
+between documents.
 
 Deep-shallow sorting: multikey quicksort on eight bytes at a time down to ``SHALLOW`` bytes; suffixes still tied there
 go to blind tries. A trie round compares each suffix of a group with the group's pivot once, which gives its
@@ -16,8 +16,8 @@ A batch sends each anchor and context once, however often its documents repeat i
 documents share costs one entry for each batch. Hashes only choose candidates; what goes is decided on bytes.
 
 Defined cases: a null or empty text, or one shorter than a window, loses nothing; rows with one doc_id are not "smaller"
-than each other, so they lose nothing to each other; a null doc_id counts as smaller than all others; an
-empty table gives an empty table; further columns are ignored.
+than each other, so they lose nothing to each other, however many batches they fill; a null doc_id counts as smaller than all
+others; a very long text is one batch of its own; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from verbena.llm.shared import BUCKETS_PER_PARTITION, FAMILIES, U64, answer, answers_by_batch, ask, batch_table, bucket_bounds, expand_sorted, mix, rising_spans_hash, shuffle_partitions, squeeze_sorted, unpack
+from verbena.llm.shared import BUCKETS_PER_TASK, FAMILIES, NULL_ID, U64, answer, answers_by_batch, ask, batch_table, bucket_bounds, bucket_place, bucket_slices, exchange_tasks, expand_sorted, mix, squeeze_sorted, unpack
 
 WINDOW, ANCHOR = 50, 25
 #: Anchors in a window, bytes around an anchor that its windows can reach.
@@ -39,7 +39,6 @@ CHOICES, CONTEXT = WINDOW - ANCHOR + 1, 2 * WINDOW - ANCHOR
 BEFORE = WINDOW - ANCHOR
 SHALLOW = 24
 SLICE_BYTES = 1 << 19
-NULL_ID = -(1 << 63)
 
 
 # --- deep-shallow sorting -------------------------------------------------------------------------
@@ -170,10 +169,8 @@ def slice_anchors(body: np.ndarray, lens: np.ndarray) -> Anchors | None:
 def ask_anchors(bounds: np.ndarray):
     def run(ids: np.ndarray, lens: np.ndarray, body: bytes) -> Iterator[tuple[int, bytes]]:
         keys = np.unique(anchors(np.frombuffer(body, np.uint8), lens).key)
-        cut = np.append(np.searchsorted(keys, bounds), len(keys))
-        for b in range(len(bounds)):
-            if cut[b] < cut[b + 1]:
-                yield b, squeeze_sorted(keys[cut[b] : cut[b + 1]])
+        for b, own in bucket_slices(keys, bounds):
+            yield b, squeeze_sorted(keys[own])
 
     return run
 
@@ -205,11 +202,10 @@ def candidates(ids: np.ndarray, lens: np.ndarray, body: bytes, bounds: np.ndarra
 
 def key_flags(keys: np.ndarray, bounds: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
     """The answers' bits in the order of the batch's sorted keys."""
-    cut = np.append(np.searchsorted(keys, bounds), len(keys))
     out = np.zeros(len(keys), bool)
     for b, data in answers.items():
-        n = cut[b + 1] - cut[b]
-        out[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+        own = bucket_place(keys, bounds, b)
+        out[own] = np.unpackbits(np.frombuffer(data, np.uint8), count=own.stop - own.start).astype(bool)
     return out
 
 
@@ -234,12 +230,11 @@ def contexts(body: np.ndarray, ends: np.ndarray, lens: np.ndarray, a: Anchors) -
     return rows
 
 
-def distinct_contexts(rows: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distinct_contexts(rank: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(one row index for each distinct context in key order, each row's context)."""
-    _, rank = deep_shallow(rows)
     pair = np.lexsort((rank, key))
     new = np.append(True, (key[pair][1:] != key[pair][:-1]) | (rank[pair][1:] != rank[pair][:-1])) if len(pair) else np.empty(0, bool)
-    inverse = np.empty(len(rows), np.int64)
+    inverse = np.empty(len(rank), np.int64)
     inverse[pair] = np.cumsum(new) - 1
     return pair[new], inverse
 
@@ -251,35 +246,41 @@ def ask_contexts(bounds: np.ndarray):
         if not len(a.at):
             return
         rows = contexts(np.frombuffer(body, np.uint8), np.cumsum(lens), lens, a)
-        one, _ = distinct_contexts(rows, a.key)
+        one, inverse = distinct_contexts(deep_shallow(rows)[1], a.key)
+        least = np.full(len(one), np.iinfo(np.int64).max)
+        np.minimum.at(least, inverse, ids[a.doc])
         keys = a.key[one]
-        cut = np.append(np.searchsorted(keys, bounds), len(keys))
         squeeze = zstandard.ZstdCompressor(level=3)
-        for b in range(len(bounds)):
-            if cut[b] < cut[b + 1]:
-                own = one[cut[b] : cut[b + 1]]
-                yield b, squeeze.compress(keys[cut[b] : cut[b + 1]].tobytes() + rows[own].tobytes())
+        for b, own in bucket_slices(keys, bounds):
+            yield b, squeeze.compress(keys[own].tobytes() + least[own].tobytes() + rows[one[own]].tobytes())
 
     return run
 
 
-def earlier_windows(payloads: list[bytes], batches: np.ndarray) -> list[bytes]:
-    """For each context of each batch a mask of its windows that an earlier batch has too."""
+def earlier_windows(payloads: list[bytes], _: np.ndarray) -> list[bytes]:
+    """For each context of each batch a mask of its windows that also start in a document of smaller id than all that the batch has it in."""
     data = [zstandard.ZstdDecompressor().decompress(p) for p in payloads]
-    sizes = [len(d) // (8 + ROW) for d in data]
+    sizes = [len(d) // (16 + ROW) for d in data]
     key = np.concatenate([np.frombuffer(d, U64, n) for d, n in zip(data, sizes, strict=True)])
-    rows = np.concatenate([np.frombuffer(d, np.uint8, n * ROW, 8 * n).reshape(n, ROW) for d, n in zip(data, sizes, strict=True)])
-    batch = np.repeat(np.arange(len(sizes)), sizes)
+    ids = np.concatenate([np.frombuffer(d, np.int64, n, 8 * n) for d, n in zip(data, sizes, strict=True)])
+    rows = np.concatenate([np.frombuffer(d, np.uint8, n * ROW, 16 * n).reshape(n, ROW) for d, n in zip(data, sizes, strict=True)])
+    mask = lost_windows(rows, deep_shallow(rows)[1], key, ids)
+    return [x.tobytes() for x in np.split(mask, np.cumsum(sizes)[:-1])]
+
+
+def lost_windows(rows: np.ndarray, rank: np.ndarray, key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each sorted context a mask of its windows that some context of smaller id has too."""
     mask = np.zeros(len(rows), np.uint32)
-    order, rank = deep_shallow(rows)
-    # equal contexts: the first batch keeps them, the others lose all windows
-    first = np.full(len(rows), len(sizes), np.int64)
-    np.minimum.at(first, rank, batch)
+    # equal contexts: those of the least id keep their windows, the others lose all
+    first = np.full(len(rows), np.iinfo(np.int64).max)
+    np.minimum.at(first, rank, ids)
     owned = owned_mask(rows)
-    later = batch > first[rank]
+    later = ids > first[rank]
     mask[later] = owned[later]
     # anchors with several contexts: their windows are sorted as suffixes of their own
-    lead = np.flatnonzero(~later)
+    keep = np.flatnonzero(~later)
+    _, one, which = np.unique(rank[keep], return_index=True, return_inverse=True)
+    lead = keep[one]
     lead = lead[np.argsort(key[lead], kind="stable")]
     k = key[lead]
     new = np.append(True, k[1:] != k[:-1]) if len(k) else np.empty(0, bool)
@@ -287,8 +288,9 @@ def earlier_windows(payloads: list[bytes], batches: np.ndarray) -> list[bytes]:
     lead = lead[np.repeat(size, size) > 1]
     if len(lead):
         for part in same_key_parts(lead, key):
-            sort_windows(rows, batch, part, mask)
-    return [x.tobytes() for x in np.split(mask, np.cumsum(sizes)[:-1])]
+            sort_windows(rows, ids, part, mask)
+        mask[keep] = mask[keep[one]][which]
+    return mask
 
 
 def same_key_parts(lead: np.ndarray, key: np.ndarray, most: int = 1 << 15) -> Iterator[np.ndarray]:
@@ -306,8 +308,8 @@ def owned_mask(rows: np.ndarray) -> np.ndarray:
     return ((U64(1) << (high + U64(1))) - (U64(1) << low)).astype(np.uint32)
 
 
-def sort_windows(rows: np.ndarray, batch: np.ndarray, lead: np.ndarray, mask: np.ndarray) -> None:
-    """Sort the windows of the ``lead`` contexts as suffixes; a window that an earlier batch has too gets its bit."""
+def sort_windows(rows: np.ndarray, ids: np.ndarray, lead: np.ndarray, mask: np.ndarray) -> None:
+    """Sort the windows of the ``lead`` contexts as suffixes; a window that a smaller id has too gets its bit."""
     low, high = rows[lead, CONTEXT + 2].astype(np.int64), rows[lead, CONTEXT + 3].astype(np.int64)
     count = high - low + 1
     who = np.repeat(lead, count)
@@ -315,9 +317,9 @@ def sort_windows(rows: np.ndarray, batch: np.ndarray, lead: np.ndarray, mask: np
     view = np.lib.stride_tricks.sliding_window_view(rows[:, :CONTEXT], WINDOW, axis=1)
     windows = view[who, BEFORE - back]
     _, rank = deep_shallow(windows)
-    first = np.full(len(who), len(batch), np.int64)
-    np.minimum.at(first, rank, batch[who])
-    hit = batch[who] > first[rank]
+    first = np.full(len(who), np.iinfo(np.int64).max)
+    np.minimum.at(first, rank, ids[who])
+    hit = ids[who] > first[rank]
     np.bitwise_or.at(mask, who[hit], (U64(1) << back[hit].astype(U64)).astype(np.uint32))
 
 
@@ -330,60 +332,36 @@ def removed_bytes(ids: np.ndarray, lens: np.ndarray, body: bytes, bounds: np.nda
     a, elsewhere = candidates(ids, lens, body, bounds, answers)
     if not len(a.at):
         return np.zeros(len(data), bool)
-    count = a.last - a.first + 1
-    who = np.repeat(np.arange(len(a.at)), count)
-    window = np.repeat(a.first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    lost = in_batch(data, window, ids[a.doc][who])
+    rows = contexts(data, ends, lens, a)
+    _, rank = deep_shallow(rows)
+    full = lost_windows(rows, rank, a.key, ids[a.doc])
     away = np.flatnonzero(elsewhere)
     if len(away) and masks:
-        b = Anchors(*(getattr(a, f)[away] for f in ("at", "key", "doc", "first", "last")))
-        rows = contexts(data, ends, lens, b)
-        one, inverse = distinct_contexts(rows, b.key)
-        keys = b.key[one]
-        cut = np.append(np.searchsorted(keys, bounds), len(keys))
+        one, inverse = distinct_contexts(rank[away], a.key[away])
+        keys = a.key[away][one]
         bits = np.zeros(len(one), np.uint32)
         for k, x in masks.items():
-            bits[cut[k] : cut[k + 1]] = np.frombuffer(x, np.uint32)
-        full = np.zeros(len(a.at), np.uint32)
-        full[away] = bits[inverse]
-        lost |= (full[who] >> (a.at[who] - window).astype(np.uint32)) & 1 > 0
-    starts = window[lost]
+            bits[bucket_place(keys, bounds, k)] = np.frombuffer(x, np.uint32)
+        full[away] |= bits[inverse]
+    count = a.last - a.first + 1
+    who = np.repeat(np.arange(len(a.at)), count)
+    window = np.repeat(a.first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    starts = window[(full[who] >> (a.at[who] - window).astype(np.uint32)) & 1 > 0]
     np.add.at(gone, starts, 1)
     np.add.at(gone, starts + WINDOW, -1)
     return np.cumsum(gone[:-1]) > 0
 
 
-def in_batch(data: np.ndarray, window: np.ndarray, doc_id: np.ndarray) -> np.ndarray:
-    """Which windows also start in a document of the batch with a smaller id. Hashes group them, bytes decide."""
-    key = rising_spans_hash(data, window, window + WINDOW, FAMILIES[1][0])
-    order = np.lexsort((doc_id, key))
-    lost = np.zeros(len(window), bool)
-    view = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
-    while len(order):
-        k = key[order]
-        new = np.append(True, k[1:] != k[:-1])
-        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        other = order[doc_id[order] > doc_id[lead]]
-        its = lead[doc_id[order] > doc_id[lead]]
-        same = np.empty(len(other), bool)
-        for i in range(0, len(other), 1 << 15):
-            p = slice(i, i + (1 << 15))
-            same[p] = (view[window[other[p]]] == view[window[its[p]]]).all(1)
-        lost[other[same]] = True
-        order = other[~same]  # a hash shared by different strings: compare the rest among themselves
-    return lost
-
-
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def suffix_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """Bytes removed from each document, and the digest of what is left (with ``with_kept`` those bytes too)."""
-    n = BUCKETS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
-    bounds = bucket_bounds(n)
     batches = batch_table(docs, "bytes")
-    one = answers_by_batch(batches, answer(ask(batches, ask_anchors(bounds)), shared_keys))
-    two = answer(ask(one, ask_contexts(bounds), 1), earlier_windows)
+    tasks = exchange_tasks(batches)
+    bounds = bucket_bounds(BUCKETS_PER_TASK * tasks)
+    one = answers_by_batch(batches, answer(ask(batches, ask_anchors(bounds)), tasks, shared_keys))
+    two = answer(ask(one, ask_contexts(bounds), 1), tasks, earlier_windows)
     both = answers_by_batch(one, two, "answers1")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
