@@ -203,7 +203,36 @@ def test_suffix_arrays(docs):
 
 def test_lcp_intervals():
     s = repetition.suffix_arrays(np.array([1, 2, 1, 2, 1, 2]), np.zeros(6, np.int64))
-    assert sorted(repetition.lcp_intervals(s.lcp, 1)) == [(0, 2, 2), (1, 2, 4), (3, 5, 1), (4, 5, 3)]
+    assert sorted(zip(*(x.tolist() for x in repetition.lcp_intervals(s.lcp, 1)), strict=True)) == [(0, 2, 2), (1, 2, 4), (3, 5, 1), (4, 5, 3)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2), max_size=30), min_size=1, max_size=4))
+def test_maximal_repeats_equal_brute_force(docs):
+    words, doc = np.array([w for d in docs for w in d], np.int64), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    starts, lengths = repetition.repeats(repetition.suffix_arrays(words, doc), words, doc, 3)
+    want, base = {}, 0
+    for d in docs:
+        places = {}
+        for n in range(3, len(d)):
+            for i in range(len(d) - n + 1):
+                places.setdefault(tuple(d[i : i + n]), []).append(i)
+        for x, at in places.items():
+            n = len(x)
+            left, right = {d[i - 1] if i else -1 - i for i in at}, {d[i + n] if i + n < len(d) else -1 - i for i in at}
+            if len(at) > 1 and len(left) > 1 and len(right) > 1:
+                want |= {base + i: max(n, want.get(base + i, 0)) for i in at}
+        base += len(d)
+    assert dict(zip(starts.tolist(), lengths.tolist(), strict=True)) == want and len(starts) == len(want)
+
+
+def test_one_word_over_and_over_takes_linear_time():
+    import time
+
+    began = time.process_time()
+    m = repetition.measure([b"same " * 100_000, b"a b c " * 50_000, b"x"])
+    assert m["longest_repeat"].tolist() == [99_999, 149_997, 0] and m["covered_chars"].tolist() == [400_000, 150_000, 0]
+    assert time.process_time() - began < 20
 
 
 def test_nearest_is_exact():

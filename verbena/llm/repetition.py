@@ -6,7 +6,7 @@ of neighbours in the array. Maximal intervals of neighbours with a common prefix
 are the maximal repeated substrings; the union of their spans is the covered part of the text. A text passes if
 that part and the longest repeat keep to their limits.
 
-Defined cases: a null or empty text has no words and fails the base rule; repeated rows are judged apiece; an empty
+Defined cases: a null or empty text has no words and fails the base rule; repeated rows are judged apiece; a very long text is read whole; an empty
 table gives an empty table; further columns are ignored.
 """
 
@@ -90,32 +90,53 @@ def suffix_arrays(words: np.ndarray, doc: np.ndarray) -> Suffixes:
     return Suffixes(order, lcp, ranks)
 
 
-def lcp_intervals(lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+def lcp_intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first, last, length) of the maximal runs of neighbours with a common prefix of ``least`` or more.
 
     A stack over the array closes an interval when the prefix gets shorter; each is a repeated substring that no
-    further word on its right extends.
+    further word on its right extends. Only the places with a long enough prefix, and one after each run of them, are visited.
     """
-    found, stack = [], []
-    for i, x in enumerate([*lcp.tolist(), 0]):
+    deep = np.flatnonzero(lcp >= least)
+    if not len(deep):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    visit = np.union1d(deep, deep + 1)
+    value = np.where(visit < len(lcp), lcp[np.minimum(visit, len(lcp) - 1)], 0)
+    found: list[tuple[int, int, int]] = []
+    stack: list[tuple[int, int]] = []
+    for i, x in zip(visit.tolist(), value.tolist(), strict=True):
         start = i - 1
         while stack and stack[-1][0] > x:
             length, start = stack.pop()
             found.append((start, i - 1, length))
         if x >= least and (not stack or stack[-1][0] < x):
             stack.append((x, start))
-    return found
+    first, last, length = np.array(found, np.int64).reshape(-1, 3).T
+    return first, last, length
 
 
-def repeat_spans(s: Suffixes, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of all spans of maximal repeated substrings.
+def repeats(s: Suffixes, words: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places that begin a maximal repeated substring of ``least`` words or more, and the length of the longest one there.
 
-    Of the intervals around a suffix the deepest has the longest span, so it decides what the union covers:
-    the greater of the prefixes shared with both neighbours.
+    An interval's substring is maximal if it can't grow on the left either: its places don't all follow one and the same word.
+    Intervals nest, inner ones are longer and come first; so each place is given its length once, however deep they nest.
     """
-    deep = np.maximum(s.lcp, np.append(s.lcp[1:], 0))
-    at = deep >= least
-    return s.order[at], deep[at]
+    first, last, length = lcp_intervals(s.lcp, least)
+    at = s.order
+    before = np.where((at > 0) & (doc[np.maximum(at - 1, 0)] == doc[at]), words[np.maximum(at - 1, 0)], -1 - at)  # a text's start is like no other
+    changes = np.concatenate(([0], np.cumsum(before[1:] != before[:-1])))
+    maximal = changes[last] > changes[first] if len(first) else np.empty(0, bool)
+    longest = np.zeros(len(at), np.int64)
+    done: list[tuple[int, int]] = []  # intervals that have their lengths, none in another
+    for a, b, n in zip(first[maximal].tolist(), last[maximal].tolist(), length[maximal].tolist(), strict=True):
+        end = b
+        while done and done[-1][0] >= a:
+            c, d = done.pop()
+            longest[d + 1 : end + 1] = n
+            end = c - 1
+        longest[a : end + 1] = n
+        done.append((a, b))
+    some = longest > 0
+    return at[some], longest[some]
 
 
 def covered(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -143,7 +164,7 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
     letter = ((body & 0xC0) != 0x80) & ~space
     codes = word_codes(body, starts, stops).indices.to_numpy(zero_copy_only=False)
     s = suffix_arrays(codes, doc)
-    spans, lengths = repeat_spans(s, MIN_WORDS)
+    spans, lengths = repeats(s, codes, doc, MIN_WORDS)
     chars = np.concatenate(([0], np.cumsum(letter)))
     word_len = chars[stops] - chars[starts]
     hit = covered(len(starts), spans, lengths)

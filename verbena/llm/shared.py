@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Raw text bytes in one packed batch: bounds the memory of a Python worker.
 BATCH_BYTES = 2 << 20
-#: Text bytes whose keys meet in one task of an exchange, and buckets that such a task works through one by one.
-EXCHANGE_BYTES, BUCKETS_PER_TASK = 16 << 20, 4
+#: Text bytes whose keys meet in one bucket, and so one task, of an exchange; and table bytes that are dealt to one task.
+EXCHANGE_BYTES, DEAL_BYTES = 16 << 20, 64 << 20
 #: Scratch folders and tables that this session has made.
 MADE: list[tuple[str, str]] = []
 
@@ -152,7 +152,7 @@ def batch_table(docs: DataFrame, name: str, carry: tuple[str, ...] = ()) -> Data
     The one shuffle of texts: later joins on ``batch`` read the buckets in place and shuffle only their small side.
     """
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
+    n = deal_tasks(docs)
     own = docs.select(F.col("doc_id").cast("long").alias("__doc"), F.coalesce(F.col("text"), F.lit("")).alias("__text"), *[F.col(f"`{c}`") for c in carry])
     order = [F.col("__doc"), F.xxhash64("__text")]
     ordered = own.repartitionByRange(n, *order).sortWithinPartitions(*order, "__text")
@@ -163,8 +163,15 @@ def batch_table(docs: DataFrame, name: str, carry: tuple[str, ...] = ()) -> Data
     return spark.table(table)
 
 
+def deal_tasks(docs: DataFrame) -> int:
+    """How many tasks the texts are dealt to: the session's shuffle partitions, more where the planner knows the table to be large."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size if size < 1 << 55 else 0  # the planner's word for an unknown size is far above
+    return max(shuffle_partitions(docs.sparkSession), -(-known // DEAL_BYTES))
+
+
 def exchange_tasks(batches: DataFrame) -> int:
-    """How many tasks an exchange of the batches' keys takes: their number grows with the texts, not the share of each."""
+    """How many buckets, one to a task, an exchange of the batches' keys takes: their number grows with the texts, not the share of each."""
     size = batches.agg(F.sum("size").alias("n")).first()["n"] or 0
     return max(1, -(-size // EXCHANGE_BYTES))
 
@@ -347,4 +354,4 @@ def answer(asked: DataFrame, tasks: int, fn) -> DataFrame:
         out = fn(table.column("payload").to_pylist(), table.column("batch").to_numpy())
         return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "answer": pa.array(out, pa.binary())})
 
-    return asked.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(run, "batch long, bucket int, answer binary")
+    return asked.repartitionById(tasks, F.col("bucket")).groupBy("bucket").applyInArrow(run, "batch long, bucket int, answer binary")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from verbena.llm.shared import BUCKETS_PER_TASK, FAMILIES, NULL_ID, U64, answer, answers_by_batch, ask, batch_table, bucket_bounds, bucket_place, bucket_slices, exchange_tasks, expand_sorted, materialize, rising_spans_hash, spans_hash, squeeze_sorted, unpack, word_spans
+from verbena.llm.shared import FAMILIES, NULL_ID, U64, answer, answers_by_batch, ask, batch_table, bucket_bounds, bucket_place, bucket_slices, exchange_tasks, expand_sorted, materialize, rising_spans_hash, spans_hash, squeeze_sorted, unpack, word_spans
 
 WINDOW = 20
 #: What a short form of a neighbouring word says: none, or several; else a number from 1 to 254.
@@ -320,7 +320,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = False, carry: tuple[str,
     """
     batches = batch_table(docs, "words", carry)
     tasks = exchange_tasks(batches)
-    bounds = bucket_bounds(BUCKETS_PER_TASK * tasks)
+    bounds = bucket_bounds(tasks)
     marked = answers_by_batch(batches, answer(ask(batches, ask_edges(bounds, key_bits)), tasks, degrees))
     paths = materialize(path_rows(marked, bounds, key_bits), "paths")
     lists = paths.filter(F.col("role") == LIST).select("batch", F.col("words").alias("copies"))

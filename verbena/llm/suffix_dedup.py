@@ -31,7 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from verbena.llm.shared import BUCKETS_PER_TASK, FAMILIES, NULL_ID, U64, answer, answers_by_batch, ask, batch_table, bucket_bounds, bucket_place, bucket_slices, exchange_tasks, expand_sorted, mix, squeeze_sorted, unpack
+from verbena.llm.shared import FAMILIES, NULL_ID, U64, answer, answers_by_batch, ask, batch_table, bucket_bounds, bucket_place, bucket_slices, exchange_tasks, expand_sorted, mix, squeeze_sorted, unpack
 
 WINDOW, ANCHOR = 50, 25
 #: Anchors in a window, bytes around an anchor that its windows can reach.
@@ -359,7 +359,7 @@ def suffix_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """Bytes removed from each document, and the digest of what is left (with ``with_kept`` those bytes too)."""
     batches = batch_table(docs, "bytes")
     tasks = exchange_tasks(batches)
-    bounds = bucket_bounds(BUCKETS_PER_TASK * tasks)
+    bounds = bucket_bounds(tasks)
     one = answers_by_batch(batches, answer(ask(batches, ask_anchors(bounds)), tasks, shared_keys))
     two = answer(ask(one, ask_contexts(bounds), 1), tasks, earlier_windows)
     both = answers_by_batch(one, two, "answers1")
