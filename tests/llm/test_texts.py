@@ -149,6 +149,75 @@ def test_media_round_trip(data):
         assert media.store(payload)[offset : offset + size] == payload[k * 12 * 192 : k * 12 * 192 + 192]
 
 
+def plain_tree(data, start=0, end=None):
+    """An independent reader: (kind, body or children) by the size fields alone."""
+    out, end = [], len(data) if end is None else end
+    while start < end:
+        size, kind = int.from_bytes(data[start : start + 4], "big"), data[start + 4 : start + 8]
+        head = 16 if size == 1 else 8
+        size = int.from_bytes(data[start + 8 : start + 16], "big") if size == 1 else size
+        body = (start + head, start + size)
+        out.append((kind, plain_tree(data, *body) if kind in (b"moov", b"trak", b"mdia", b"minf", b"stbl") else data[slice(*body)]))
+        start += size
+    return out
+
+
+def find_box(tree, *path):
+    for kind in path:
+        tree = next(x for k, x in tree if k == kind)
+    return tree
+
+
+def test_media_by_an_independent_reader():
+    for size in (0, 1, 192, 5000, 192 * 24 * 3):
+        payload = media.padded(bytes(i % 251 for i in range(size)))
+        file = media.store(payload)
+        (track,) = media.walk(file)
+        table = lambda name: find_box(plain_tree(file), b"moov", b"trak", b"mdia", b"minf", b"stbl", name)
+        word = lambda x, i: int.from_bytes(x[4 * i : 4 * i + 4], "big")
+        stsz, stco, stsc, stss = map(table, (b"stsz", b"stco", b"stsc", b"stss"))
+        offsets, entries = [word(stco, 2 + i) for i in range(word(stco, 1))], [(word(stsc, 2 + 3 * i), word(stsc, 3 + 3 * i)) for i in range(word(stsc, 1))]
+        samples = []
+        for c, at in enumerate(offsets, 1):
+            for i in range([n for first, n in entries if first <= c][-1]):
+                samples.append((at + i * word(stsz, 1), word(stsz, 1)))
+        keys = [word(stss, 2 + i) - 1 for i in range(word(stss, 1))]
+        assert len(samples) == word(stsz, 2) and b"".join(file[a : a + n] for a, n in samples) == payload
+        assert list(map(tuple, track["samples"].tolist())) == samples and list(map(tuple, track["keyframes"].tolist())) == [samples[k] for k in keys]
+
+
+def test_compact_sizes_and_fragments():
+    """A track with 4-bit sizes, and two movie fragments with run tables and defaults."""
+    import struct
+
+    box, full, u = media.box, media.full, lambda *x: struct.pack(f">{len(x)}I", *x)
+    mdat = box(b"mdat", bytes(range(100)))
+    stbl = box(b"stbl", full(b"stsd", u(1), box(b"avc1", bytes(70))), full(b"stts", u(1, 3, 10)), full(b"stsc", u(1, 1, 3, 1)), full(b"stz2", u(4, 3), bytes([0x52, 0x30])), full(b"stco", u(1, 8)))
+    trak = box(b"trak", full(b"tkhd", u(0, 0, 7, 0, 30), bytes(60), flags=7), box(b"mdia", full(b"mdhd", u(0, 0, 10, 30, 0)), full(b"hdlr", bytes(4), b"vide", bytes(13)), box(b"minf", stbl)))
+    head = mdat + box(b"moov", full(b"mvhd", bytes(96)), trak, box(b"mvex", full(b"trex", u(7, 1, 5, 6, 0x10000))))
+    one = box(b"moof", box(b"traf", full(b"tfhd", u(7), flags=0x20000), full(b"trun", u(2, 100, 0, 4, 9), flags=0x205)))
+    two = box(b"moof", box(b"traf", full(b"tfhd", u(7, 3), flags=0x20008), full(b"trun", u(2, 200), flags=1)))
+    (t,) = media.walk(head + one + two)
+    a, b = len(head), len(head) + len(one)
+    assert t["codec"] == "avc1" and t["samples"].tolist() == [[8, 5], [13, 2], [15, 3], [a + 100, 4], [a + 104, 9], [b + 200, 6], [b + 206, 6]]
+    assert t["keyframes"].tolist() == [[8, 5], [13, 2], [15, 3], [a + 100, 4]] and t["duration"] == (30 + 10 + 6) / 10
+
+
+def test_odd_media(spark):
+    """Deep nesting, forged counts and columns that are called as the features are."""
+    import struct
+
+    deep = b""
+    for _ in range(20_000):
+        deep = struct.pack(">I4s", 8 + len(deep), b"moov") + deep
+    good = media.store(media.padded(b"x" * 500))
+    at = good.index(b"stsz")
+    forged = good[: at + 12] + struct.pack(">I", 0xFFFFFFFF) + good[at + 16 :]
+    rows = [(1, bytearray(deep), 1), (2, bytearray(forged), 2), (3, bytearray(good), 3), (4, None, 4)]
+    got = {r["doc_id"]: r for r in media.media_columns(spark.createDataFrame(rows, "doc_id long, media binary, codec int")).collect()}
+    assert [got[i]["codec"] for i in (1, 2, 3, 4)] == [None, None, "raw ", None] and got[3]["n_samples"] == 3
+
+
 def test_media_digest(spark):
     texts = corpus(2)
     for r in media.stored_digest(frame(spark, texts)).collect():

@@ -1,11 +1,14 @@
 """ISO media columns: payloads as samples of an ISO base media file, and a walker that reads such files.
 
 ``walk`` visits the nested boxes of any ISO base media file and decodes the sample tables (``stsd``, ``stts``,
-``stsc``, ``stsz``, ``stco``/``co64``, ``stss``): codec, duration and the byte range of every keyframe come from
-the tables alone; the samples' payload is never decoded. ``store`` writes bytes as uncompressed 8-bit samples.
+``stsc``, ``stsz`` or ``stz2``, ``stco``/``co64``, ``stss``) and the runs of movie fragments (``trex``, ``tfhd``, ``trun``): codec,
+duration and the byte range of every keyframe come from the tables alone; the samples' payload is never decoded. ``store`` writes bytes
+as uncompressed 8-bit samples.
 
 Defined cases: a null or empty text becomes one sample of padding; equal texts give equal files; null
-media or bytes that are no such file give null features; an empty table gives an empty table.
+media or bytes that are no such file (tables that don't fit the file, too) give null features; boxes may nest to any depth; a very long
+text becomes one large file; repeated rows give repeated rows; an empty table gives an empty table; columns that are called as a
+feature are replaced by it, further columns are kept.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -100,52 +104,154 @@ def numbers(data: bytes, at: int, columns: int, width: str = ">u4") -> np.ndarra
     return out.reshape(-1, columns) if columns > 1 else out
 
 
+def sample_sizes(t: dict[bytes, tuple[int, int]], data: bytes) -> np.ndarray:
+    """The length of every sample, from a plain or a compact size table."""
+    if b"stsz" in t:
+        at = t[b"stsz"][0] + 4
+        each, n = struct.unpack_from(">II", data, at)
+        if not each:
+            return numbers(data, at + 4, 1)
+        if each * n > len(data):
+            raise ValueError("more samples than the file has bytes for")
+        return np.full(n, each, np.int64)
+    at = t[b"stz2"][0] + 4
+    bits, n = struct.unpack_from(">II", data, at)
+    if bits == 4:
+        pairs = np.frombuffer(data, np.uint8, (n + 1) // 2, at + 8)
+        return np.stack((pairs >> 4, pairs & 15), 1).ravel()[:n].astype(np.int64)
+    return np.frombuffer(data, {8: ">u1", 16: ">u2"}[bits], n, at + 8).astype(np.int64)
+
+
 def sample_ranges(t: dict[bytes, tuple[int, int]], data: bytes) -> np.ndarray:
     """(offset, length) of every sample, from the chunk and size tables."""
-    at = t[b"stsz"][0] + 4
-    each, n = struct.unpack_from(">II", data, at)
-    sizes = np.full(n, each, np.int64) if each else numbers(data, at + 4, 1)
+    sizes = sample_sizes(t, data)
+    n = len(sizes)
+    if not n:
+        return np.empty((0, 2), np.int64)
     chunks = numbers(data, t[b"co64"][0] + 4, 1, ">u8") if b"co64" in t else numbers(data, t[b"stco"][0] + 4, 1)
     runs = numbers(data, t[b"stsc"][0] + 4, 3)
     per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
-    chunk = np.repeat(np.arange(len(chunks)), per_chunk)[:n]
+    per_chunk = np.diff(np.minimum(np.cumsum(per_chunk), n), prepend=0)
+    chunk = np.repeat(np.arange(len(chunks)), per_chunk)
     before = np.cumsum(sizes) - sizes
     first = np.cumsum(per_chunk) - per_chunk
-    return np.stack([chunks[chunk] + before - before[first[chunk]], sizes], 1)
+    return np.stack([chunks[chunk] + before - before[np.minimum(first, n - 1)[chunk]], sizes], 1)
+
+
+@dataclass
+class Track:
+    """The boxes of a track, and what its movie fragments add."""
+
+    boxes: dict[bytes, tuple[int, int]] = field(default_factory=dict)
+    ranges: list[np.ndarray] = field(default_factory=list)
+    sync: list[np.ndarray] = field(default_factory=list)
+    ticks: int = 0
+
+
+def read_boxes(data: bytes) -> tuple[list[Track], list[tuple[int, dict[bytes, list[tuple[int, int]]]]], dict[int, tuple[int, ...]]]:
+    """(tracks, fragments, defaults): each track's boxes; (start of its moof, boxes by kind) of each track fragment; ``trex`` by track.
+
+    The open boxes lie on a stack of their own, so the depth of nesting is free.
+    """
+    tracks: list[Track] = []
+    fragments: list[tuple[int, dict[bytes, list[tuple[int, int]]]]] = []
+    defaults: dict[int, tuple[int, ...]] = {}
+    stack = [(boxes(data, 0, len(data)), None, None, 0)]
+    while stack:
+        inner, track, fragment, moof = stack[-1]
+        found = next(inner, None)
+        if found is None:
+            stack.pop()
+            continue
+        kind, a, b = found
+        if kind == b"trak":
+            track = Track()
+            tracks.append(track)
+        elif kind == b"moof":
+            moof = a - 8
+        elif kind == b"traf":
+            fragment = {}
+            fragments.append((moof, fragment))
+        elif kind == b"trex":
+            defaults[struct.unpack_from(">I", data, a + 4)[0]] = struct.unpack_from(">4I", data, a + 8)
+        if kind in CONTAINERS:
+            stack.append((boxes(data, a, b), track, fragment, moof))
+        elif fragment is not None:
+            fragment.setdefault(kind, []).append((a, b))
+        elif track is not None:
+            track.boxes[kind] = (a, b)
+    return tracks, fragments, defaults
+
+
+def add_fragment(data: bytes, moof: int, own: dict[bytes, list[tuple[int, int]]], by_id: dict[int, Track], defaults: dict[int, tuple[int, ...]]) -> None:
+    """The samples of a track fragment's runs, with the track's or the fragment's defaults for what a run leaves out."""
+    at = own[b"tfhd"][0][0]
+    flags, name = struct.unpack_from(">II", data, at)
+    flags &= 0xFFFFFF
+    at += 8
+    base = moof
+    if flags & 1:
+        base = struct.unpack_from(">Q", data, at)[0]
+        at += 8
+    at += 4 * bool(flags & 2)
+    _, ticks, size, sample_flags = defaults.get(name, (1, 0, 0, 0))
+    values = []
+    for bit, default in ((8, ticks), (16, size), (32, sample_flags)):
+        values.append(struct.unpack_from(">I", data, at)[0] if flags & bit else default)
+        at += 4 * bool(flags & bit)
+    ticks, size, sample_flags = values
+    track, place = by_id[name], base
+    for a, _ in own.get(b"trun", []):
+        run_flags, n = struct.unpack_from(">II", data, a)
+        run_flags &= 0xFFFFFF
+        a += 8
+        if run_flags & 1:
+            place = base + struct.unpack_from(">i", data, a)[0]
+            a += 4
+        first_flags = struct.unpack_from(">I", data, a)[0] if run_flags & 4 else None
+        a += 4 * bool(run_flags & 4)
+        columns = [bit for bit in (0x100, 0x200, 0x400, 0x800) if run_flags & bit]
+        if not columns and n * size > len(data):
+            raise ValueError("more samples than the file has bytes for")
+        rows = np.frombuffer(data, ">u4", n * len(columns), a).astype(np.int64).reshape(n, len(columns))
+        column = {bit: rows[:, i] for i, bit in enumerate(columns)}
+        sizes = column.get(0x200, np.full(n, size, np.int64))
+        marks = column.get(0x400, np.full(n, sample_flags, np.int64)).copy()
+        if n and first_flags is not None and 0x400 not in column:
+            marks[0] = first_flags
+        track.ranges.append(np.stack([place + np.cumsum(sizes) - sizes, sizes], 1))
+        track.sync.append(marks & 0x10000 == 0)
+        track.ticks += int(column[0x100].sum()) if 0x100 in column else n * ticks
+        place += int(sizes.sum())
 
 
 def walk(data: bytes) -> list[dict]:
-    """For each track: codec, timescale, duration in seconds, samples and the byte ranges of its keyframes."""
-    tracks: list[dict] = []
-
-    def visit(start: int, end: int, track: dict[bytes, tuple[int, int]] | None) -> None:
-        for kind, a, b in boxes(data, start, end):
-            if kind == b"trak":
-                inner: dict[bytes, tuple[int, int]] = {}
-                visit(a, b, inner)
-                if b"stsz" in inner:
-                    tracks.append(decode(inner))
-            elif kind in CONTAINERS:
-                visit(a, b, track)
-            elif track is not None:
-                track[kind] = (a, b)
-
-    def decode(t: dict[bytes, tuple[int, int]]) -> dict:
+    """For each track, those with pictures first: codec, timescale, duration in seconds, samples and the byte ranges of its keyframes."""
+    tracks, fragments, defaults = read_boxes(data)
+    by_id = {struct.unpack_from(">I", data, t.boxes[b"tkhd"][0] + (20 if data[t.boxes[b"tkhd"][0]] else 12))[0]: t for t in tracks if b"tkhd" in t.boxes}
+    for moof, own in fragments:
+        add_fragment(data, moof, own, by_id, defaults)
+    out = []
+    for track in tracks:
+        t = track.boxes
+        if b"stsz" not in t and b"stz2" not in t:
+            continue
         version = data[t[b"mdhd"][0]]
         scale = struct.unpack_from(">I", data, t[b"mdhd"][0] + (20 if version else 12))[0]
         times = numbers(data, t[b"stts"][0] + 4, 2)
         ranges = sample_ranges(t, data)
-        keys = numbers(data, t[b"stss"][0] + 4, 1) - 1 if b"stss" in t else np.arange(len(ranges))
-        return {
+        sync = np.zeros(len(ranges), bool)
+        sync[numbers(data, t[b"stss"][0] + 4, 1) - 1 if b"stss" in t else slice(None)] = True
+        ranges, sync = np.concatenate([ranges, *track.ranges]), np.concatenate([sync, *track.sync])
+        out.append({
             "codec": data[t[b"stsd"][0] + 12 : t[b"stsd"][0] + 16].decode("latin-1"),
             "timescale": scale,
-            "duration": float((times[:, 0] * times[:, 1]).sum() / max(1, scale)),
+            "duration": float(((times[:, 0] * times[:, 1]).sum() + track.ticks) / max(1, scale)),
             "samples": ranges,
-            "keyframes": ranges[keys],
-        }
-
-    visit(0, len(data), None)
-    return tracks
+            "keyframes": ranges[sync],
+            "pictures": b"hdlr" in t and data[t[b"hdlr"][0] + 8 : t[b"hdlr"][0] + 12] == b"vide",
+        })
+    return sorted(out, key=lambda t: not t["pictures"])
 
 
 def read_samples(data: bytes, track: dict) -> bytes:
@@ -168,7 +274,7 @@ FEATURES = "codec string, duration double, n_samples long, keyframes array<struc
 
 
 def media_columns(df: DataFrame, media: str = "media") -> DataFrame:
-    """``df`` with codec, duration, n_samples and keyframe byte ranges of the first track of the ``media`` files."""
+    """``df`` with codec, duration, n_samples and keyframe byte ranges of the ``media`` files' first picture track (else their first track)."""
     schema = df.schema
     keep = [c for c in df.columns if c not in ("codec", "duration", "n_samples", "keyframes")]
 
@@ -178,7 +284,7 @@ def media_columns(df: DataFrame, media: str = "media") -> DataFrame:
             for x in part.column(keep.index(media)).to_pylist():
                 try:
                     t = walk(x)[0] if x else None
-                except (ValueError, KeyError, IndexError, struct.error):
+                except (ValueError, KeyError, IndexError, OverflowError, struct.error):
                     t = None
                 rows.append(t)
             keys = [None if t is None else [{"offset": a, "length": b} for a, b in t["keyframes"].tolist()] for t in rows]
