@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 from tests.llm.helpers import SCHEMA, collect, corpus, frame, odd_frames, prose
 from verbena.llm import mixing, packing
 from verbena.llm.queries import tokenizer_file
+from verbena.llm.toxicity import toxicity
 from verbena.llm.word_tokens import WordTokenizer
 
 WORDS = tokenizer_file("word_bpe_49k.json")
@@ -168,9 +169,63 @@ def test_odd_tables(spark):
         assert sum(r["copies"] for r in mixing.mix_sample(df).collect()) == mixing.mix_copies(df).count()
 
 
+def cut_by_hand(texts):
+    """Each text without the words of windows that start earlier; what stood between kept words stays, gaps become a line break or space."""
+    import re
+
+    from tests.llm.test_dedup import removed_words
+
+    order = sorted(texts)
+    out = {}
+    for i, (words, gone) in zip(order, removed_words([(i, (texts[i] or "").encode()) for i in order]), strict=True):
+        if all(gone) and words:
+            continue
+        if not any(gone):
+            out[i] = texts[i] or ""
+            continue
+        text, parts, before = (texts[i] or "").encode(), [], None
+        for k, m in enumerate(re.finditer(rb"[^\x20\x09-\x0D]+", text)):
+            if not gone[k]:
+                if before is not None:
+                    gap = text[before[1] : m.start()]
+                    parts.append(gap if before[0] == k - 1 else b"\n" if b"\n" in gap else b" ")
+                parts.append(m[0])
+                before = (k, m.end())
+        out[i] = b"".join(parts).decode()
+    return out
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, nulls, repeated rows and further columns go through every stage; columns and types stay."""
+    import corpus_pipeline as p
+
+    labels = spark.createDataFrame([(1, 0, 1), (None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for name, df in odd_frames(spark):
+        for stage_name, stage in p.STAGES:
+            out = stage(spark, df, str(tmp_path))
+            if stage_name != "packing":
+                assert out.dtypes == df.dtypes, (name, stage_name)
+            n = out.count()
+            assert n == 0 if name == "empty" else n > 0 or stage_name in ("mixing", "toxicity"), (name, stage_name)
+
+
+def test_scratch_is_swept(spark):
+    from verbena.llm import shared
+
+    since = len(shared.MADE)
+    kept = shared.materialize(spark.range(3), "kept-table")
+    shared.materialize(spark.range(3), "other")
+    table = shared.batch_table(frame(spark, ["a b", "c"]), "swept")
+    assert table.count() > 0
+    names = [n for k, n in shared.MADE[since:] if k == "table"]
+    shared.sweep_scratch(spark, since, keep=("kept-table-",))
+    assert kept.count() == 3 and not any(spark.catalog.tableExists(n) for n in names) and len(shared.MADE) == since + 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
-    from tests.llm.test_dedup import components, slow_fingerprint
+    from tests.llm.test_dedup import components, slow_copies, slow_fingerprint
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -183,8 +238,14 @@ def test_pipeline(spark):
             assert out.columns == docs.columns and out.dtypes == docs.dtypes
         results[name], now = (now, out), out
     before, after = results["simhash_dedup"]
-    prints = {r["doc_id"]: slow_fingerprint(r["text"] or "") for r in before.collect()}
-    assert {r["doc_id"] for r in after.collect()} == set(components(prints).values())
+    texts = {r["doc_id"]: r["text"] for r in before.collect()}
+    heads = set(components({i: slow_fingerprint(t or "") for i, t in texts.items()}).values())
+    assert {r["doc_id"] for r in after.collect()} == set(slow_copies({i: texts[i] for i in sorted(heads)}).values())
+    before, after = results["substring_dedup"]
+    assert {r["doc_id"]: r["text"] for r in after.collect()} == cut_by_hand({r["doc_id"]: r["text"] for r in before.collect()})
+    before, after = results["toxicity"]
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in toxicity(before, labels).filter("predicted = 0").collect()}
     before, after = results["mixing"]
     assert set(after.collect()) <= set(before.collect())
     assert {r["doc_id"] for r in now.collect()} == {r["doc_id"] for r in after.collect()}
