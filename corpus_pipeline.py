@@ -1,8 +1,13 @@
-"""The training-corpus pipeline: reject toxic documents, keep one of each near-duplicate group, then one of each group of
-near copies, cut long repeats, mix the sources to target weights, pack the tokens into sequences.
+"""The training-corpus pipeline: reject toxic documents, keep one document of each near-duplicate group, cut long repeats, mix the
+sources to target weights, pack the tokens into sequences.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept. All but the last return the
 columns of ``documents``.
+
+Defined cases: null texts count as empty everywhere; empty texts are not toxic (unless most examples are), are near-duplicates of each
+other, weigh one token in the mix and are packed as the end token; of near-duplicates the smallest doc_id stays, then the least text
+hash, and a null doc_id only where there is no other; of a repeated span the place in the smallest doc_id stays; very long texts are read
+whole by every stage; empty tables give empty tables with their columns.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from verbena.llm.mixing import mix_copies
 from verbena.llm.near_copies import one_of_near_copies
 from verbena.llm.packing import pack
 from verbena.llm.queries import read, tokenizer_file
-from verbena.llm.shared import materialize
+from verbena.llm.shared import MADE, materialize, sweep_scratch
 from verbena.llm.simhash import one_of_each
 from verbena.llm.substring_dedup import without_repeats
 from verbena.llm.toxicity import without_toxic
@@ -25,14 +30,14 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by SimHash fingerprints within two bits."""
-    return one_of_each(docs)
+    """One document of each group linked by SimHash fingerprints within two bits, then one of each group linked by a Jaccard
+    similarity of 0.8 or more of five-word shingles: fingerprints leave most such pairs further than two bits apart."""
+    return one_of_near_copies(materialize(one_of_each(docs), "simhash-kept"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with 5-word Jaccard similarity 0.8 or more (SimHash leaves most such pairs), without words
-    covered by 20-word windows that start earlier; wholly covered ones go."""
-    return without_repeats(materialize(one_of_near_copies(docs), "near-copies"))
+    """The documents without words covered by 20-word windows that start earlier; wholly covered ones go."""
+    return without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +63,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each result written and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages on ``documents``, each result written and read again; what a stage wrote besides is deleted."""
+    docs, since = read(spark, sf_dir, "documents"), len(MADE)
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        sweep_scratch(spark, since, keep=(f"pipeline-{name}-",))
     return docs
