@@ -213,14 +213,15 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path):
 def test_scratch_is_swept(spark):
     from verbena.llm import shared
 
-    since = len(shared.MADE)
     kept = shared.materialize(spark.range(3), "kept-table")
-    shared.materialize(spark.range(3), "other")
+    since = len(shared.MADE)
+    other = shared.materialize(spark.range(3), "other")
     table = shared.batch_table(frame(spark, ["a b", "c"]), "swept")
-    assert table.count() > 0
-    names = [n for k, n in shared.MADE[since:] if k == "table"]
-    shared.sweep_scratch(spark, since, keep=("kept-table-",))
-    assert kept.count() == 3 and not any(spark.catalog.tableExists(n) for n in names) and len(shared.MADE) == since + 1
+    assert table.count() > 0 and other.count() == 3
+    made = shared.MADE[since:]
+    names = [n for k, n in made if k == "table"]
+    shared.sweep(spark, made)
+    assert kept.count() == 3 and not made and len(names) == 1 and not spark.catalog.tableExists(names[0]) and len(shared.MADE) == since
 
 
 def test_pipeline(spark):

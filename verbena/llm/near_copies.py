@@ -14,6 +14,7 @@ that have no other; an empty table gives an empty table; further columns are kep
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbena.llm.components import connected_components
-from verbena.llm.shared import FAMILIES, U64, documents_of, materialize, mix, spans_hash, text_bytes, word_spans
+from verbena.llm.shared import FAMILIES, MADE, U64, documents_of, materialize, mix, scratch_dir, shuffle_partitions, spans_hash, text_bytes, word_spans
 from verbena.llm.simhash import rows_of_least, text_hash
 
 SHINGLE, LEAST = 5, 0.8
@@ -95,13 +96,24 @@ def decided(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             good = [jaccard(of(*x), of(*y)) >= LEAST for x, y in zip(*sides, strict=True)]
             yield part.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    # merge joins: their hot keys are split
-    both = pairs.hint("merge").join(right, "b").hint("merge").join(left, "a")
+    # the texts lie bucketed by node: only pairs, their second texts and the first texts of pairs are shuffled
+    firsts = texts.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    seconds = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = seconds.hint("merge").join(materialize(firsts, "first-texts"), "a")  # a merge join: its hot keys are split
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def text_table(own: DataFrame) -> DataFrame:
+    """(node, text): the different texts, a table bucketed by node."""
+    spark = own.sparkSession
+    n, table = shuffle_partitions(spark), f"verbena_texts_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{table}"
+    one = own.repartition(n, "node").groupBy("node").agg(F.first("text").alias("text"))
+    one.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, "node").saveAsTable(table)
+    MADE.extend([("table", table), ("path", path)])
+    return spark.table(table)
+
+
 def links(texts: DataFrame) -> DataFrame:
     """(a, b): links between different texts (node, text), enough to connect all that are connected."""
     dealt = materialize(sketches(texts).select("node", "size", F.explode("values").alias("value")), "bands")
@@ -122,7 +134,7 @@ def links(texts: DataFrame) -> DataFrame:
 def one_of_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each component, all columns as they are: that of the smallest doc_id (then the least text hash)."""
     own = documents_of(docs).withColumn("node", text_hash(F.col("text")))
-    texts = materialize(own.groupBy("node").agg(F.first("text").alias("text")), "distinct-texts")
+    texts = text_table(own)
     roots = connected_components(links(texts))
     ids = own.select("doc_id", F.col("node").alias("hash"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("least")

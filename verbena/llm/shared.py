@@ -1,7 +1,7 @@
 """What several operators share: scratch tables, text batches, word hashing and the bucket exchange.
 
 Scratch data goes to the folder in ``spark.checkpoint.dir``; only where that is unset in a local session (tests) is a
-temporary folder made. Nothing here uses the executors' own disks. ``sweep_scratch`` deletes what is no longer needed.
+temporary folder made. Nothing here uses the executors' own disks. ``sweep`` deletes what is no longer needed.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ BATCH_BYTES = 2 << 20
 EXCHANGE_BYTES, DEAL_BYTES = 16 << 20, 64 << 20
 #: Scratch folders and tables that this session has made.
 MADE: list[tuple[str, str]] = []
+#: Sides of a join are broadcast up to this many bytes; beyond, both sides are shuffled.
+BROADCAST_BYTES = 64 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -46,20 +48,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep_scratch(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Delete the scratch folders and tables made after the first ``since``, but for those whose names begin with one of ``keep``."""
+def sweep(spark: SparkSession, made: list[tuple[str, str]]) -> None:
+    """Delete the scratch folders and tables in ``made``, which is left empty."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    left = []
-    for kind, name in MADE[since:]:
-        if kind == "path" and name.rsplit("/", 1)[1].startswith(keep):
-            left.append((kind, name))
-            continue
+    for kind, name in made:
         if kind == "table":
             spark.sql(f"DROP TABLE IF EXISTS {name}")
         else:
             path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)
-    MADE[since:] = left
+    gone = set(made)
+    MADE[:] = [x for x in MADE if x not in gone]
+    made.clear()
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, counted, fit; a count reads a written table's footers only."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df.hint("merge")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

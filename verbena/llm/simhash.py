@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbena.llm.components import connected_components
-from verbena.llm.shared import documents_of, materialize, text_bytes
+from verbena.llm.shared import broadcast_if_small, documents_of, materialize, text_bytes
 
 SEED = 42
 SHINGLE = 3
@@ -141,14 +141,23 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> Da
 
 
 def rows_of_least(docs: DataFrame, prints: DataFrame, best: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each ``least`` (doc_id and text hash) of ``best``; ``prints`` has both of every row."""
-    chosen = best.select("least.doc_id", "least.hash")
-    times = prints.groupBy("doc_id", "hash").agg(F.count("*").alias("times")).withColumnsRenamed({"doc_id": "__d", "hash": "__h"})
-    wanted = chosen.join(times, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("hash") == F.col("__h"))).select("__d", "__h", "times")
+    """One row of ``docs`` for each ``least`` (doc_id and text hash) of ``best``; ``prints`` has both of every row.
+
+    The rows to leave out are joined against the documents: these are not shuffled as long as those are few enough to broadcast.
+    """
+    chosen = best.select(F.col("least.doc_id").alias("__d"), F.col("least.hash").alias("__h")).withColumn("__chosen", F.lit(True))
+    times = prints.groupBy(F.col("doc_id").alias("__d"), F.col("hash").alias("__h")).agg(F.count("*").alias("__times"))
+    same = times["__d"].eqNullSafe(chosen["__d"]) & (times["__h"] == chosen["__h"])
+    keys = times.join(chosen, same, "left").select(times["__d"], times["__h"], "__times", F.col("__chosen").isNotNull().alias("__stays"))
+    marked = materialize(keys.filter(~F.col("__stays") | (F.col("__times") > 1)), "marked-rows")
     own = docs.withColumn("__hash", text_hash(F.col("text")))
-    kept = own.join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__h")))
-    once, more = kept.filter("times = 1"), kept.filter("times > 1").dropDuplicates(["__d", "__h"])
-    return once.unionByName(more).select(*docs.columns)
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__h"))
+    kept = own.join(broadcast_if_small(marked, 32), match, "left_anti").select(*docs.columns)
+    repeated = marked.filter("__stays")
+    if repeated.isEmpty():
+        return kept
+    once = own.join(broadcast_if_small(materialize(repeated, "repeated-rows"), 32), match).dropDuplicates(["__d", "__h"]).select(*docs.columns)
+    return kept.unionByName(once)
 
 
 def text_hash(text: F.Column) -> F.Column:
