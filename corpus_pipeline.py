@@ -12,13 +12,16 @@ whole by every stage; empty tables give empty tables with their columns.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from verbena.llm.mixing import mix_copies
 from verbena.llm.near_copies import one_of_near_copies
 from verbena.llm.packing import pack
 from verbena.llm.queries import read, tokenizer_file
-from verbena.llm.shared import MADE, materialize, sweep_scratch
+from verbena.llm.shared import MADE, materialize, sweep
 from verbena.llm.simhash import one_of_each
 from verbena.llm.substring_dedup import without_repeats
 from verbena.llm.toxicity import without_toxic
@@ -32,7 +35,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by SimHash fingerprints within two bits, then one of each group linked by a Jaccard
     similarity of 0.8 or more of five-word shingles: fingerprints leave most such pairs further than two bits apart."""
-    return one_of_near_copies(materialize(one_of_each(docs), "simhash-kept"))
+    return one_of_near_copies(one_of_each(docs))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +53,29 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return pack(docs, tokenizer_file("word_bpe_49k.json"))
 
 
+def tidy(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage; first it deletes what the stage before wrote besides its result, which has to be written by then."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sweep(spark, LEFT)
+        since = len(MADE)
+        out = stage(spark, docs, sf_dir)
+        LEFT.extend(MADE[since:])
+        return out
+
+    return run_stage
+
+
+#: What the last stage wrote besides its result.
+LEFT: list[tuple[str, str]] = []
+
 STAGES = [
-    ("toxicity", reject_toxic),
-    ("simhash_dedup", keep_one_of_each),
-    ("substring_dedup", cut_repeats),
-    ("mixing", mix_sources),
-    ("packing", pack_sequences),
+    ("toxicity", tidy(reject_toxic)),
+    ("simhash_dedup", tidy(keep_one_of_each)),
+    ("substring_dedup", tidy(cut_repeats)),
+    ("mixing", tidy(mix_sources)),
+    ("packing", tidy(pack_sequences)),
 ]
 
 #: Fingerprints, tokens and nearest neighbours are beyond SQL: the tests hold the stages against brute force.
@@ -63,9 +83,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``, each result written and read again; what a stage wrote besides is deleted."""
-    docs, since = read(spark, sf_dir, "documents"), len(MADE)
+    """All stages on ``documents``, each result written and read again."""
+    docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        sweep_scratch(spark, since, keep=(f"pipeline-{name}-",))
+    sweep(spark, LEFT)
     return docs
