@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm.shared import documents_of, joined, materialize, shuffle_partitions, text_groups, word_codes, word_spans
+from verbena.llm.shared import documents_of, give_back_memory, joined, materialize, shuffle_partitions, text_groups, word_codes, word_spans
 
 FOLDS = 5
 MAX_EXAMPLES = 4000
@@ -107,8 +107,8 @@ class BlockMaxIndex:
         n = len(vectors)
         self.n, self.blocks = n, -(-n // BLOCK)
         self.width = self.blocks * BLOCK
-        example = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
-        term = np.concatenate([t for t, _ in vectors]) if n else np.empty(0, np.int64)
+        example = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in vectors])
+        term = np.concatenate([t for t, _ in vectors]).astype(np.int32) if n else np.empty(0, np.int32)
         weight = np.concatenate([w for _, w in vectors]) if n else np.empty(0)
         size = np.bincount(term, minlength=n_terms)
         long = np.flatnonzero(size > max(1, long_share * n))
@@ -119,9 +119,9 @@ class BlockMaxIndex:
         self.dense[self.row[term[own]], example[own]] = weight[own]
         self.most = self.dense.reshape(len(long), self.blocks, BLOCK).max(2) if n else np.zeros((len(long), 0))
         term, example, weight = term[~own], example[~own], weight[~own]
-        order = np.lexsort((example, term))
-        self.example, self.weight = example[order].astype(np.int32), weight[order]
-        self.start = np.searchsorted(term[order], np.arange(n_terms + 1))
+        order = np.argsort(term, kind="stable")  # examples rise
+        self.example, self.weight = example[order], weight[order]
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=n_terms))))
 
     def nearest(self, queries: list[Vector], k: int, skip: np.ndarray | None = None) -> list[Vector]:
         """For each query the k examples of greatest cosine above 0 (ties: the earlier example), without example ``skip``."""
@@ -200,6 +200,7 @@ class Model:
         self.labels = labels[order] if order else labels
         self.weights = np.where(self.labels > 0, class_weight[1], class_weight[0])
         self.index = BlockMaxIndex(self.vectors, len(terms))
+        give_back_memory()
         w = self.weights
         self.prior = float((w @ self.labels) / w.sum()) if len(w) else 0.0
         got = self.index.nearest(self.vectors, NEIGHBOURS, np.arange(len(examples)))
@@ -274,13 +275,16 @@ def examples_of(sample: DataFrame) -> tuple[pa.Array, list[tuple[int, int, np.nd
     own, flat = (pa.concat_tables(x) for x in both)
     terms = flat.column("term").unique()
     terms = terms.take(pc.sort_indices(terms))
-    place = pc.index_in(flat.column("term"), value_set=terms).to_numpy().astype(np.int64)
-    count, ends = flat.column("count").to_numpy().astype(np.int64), np.cumsum(own.column("n").to_numpy())
+    place = pc.index_in(flat.column("term"), value_set=terms).to_numpy().astype(np.int32)
+    count, ends = flat.column("count").to_numpy(), np.cumsum(own.column("n").to_numpy())
+    del rows, both, flat
     examples = []
     for doc, toxic, n, end in zip(own.column("doc_id").to_pylist(), own.column("toxic").to_pylist(), own.column("n").to_pylist(), ends.tolist(), strict=True):
         at = place[end - n : end]
         order = np.argsort(at)
         examples.append((doc, toxic, at[order], count[end - n : end][order]))
+    del place, count
+    give_back_memory()
     return terms, sorted(examples, key=lambda e: (e[0], e[1], len(e[2])))
 
 
@@ -341,13 +345,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     terms, examples = examples_of(sample)
     everything = document_vectors(docs, terms)
     frequency, n = document_frequencies(everything, len(terms))
-    return Model(terms, frequency, n, examples, class_weight), everything
+    model = Model(terms, frequency, n, examples, class_weight)
+    del examples
+    give_back_memory()
+    return model, everything
 
 
 def scored(everything: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, neighbours, terms) from the term vectors of every whole text; equal vectors are scored once in a worker."""
     spark = everything.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    give_back_memory()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = shared.value, {}
