@@ -35,6 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from verbena.llm.shared import materialize, trimmed
+
 #: Winning paths are broadcast up to this many bytes; beyond, they are joined by a salted shuffle.
 BROADCAST_BYTES, SALTS = 16 << 20, 32
 
@@ -404,14 +406,13 @@ def host_paths(pages: DataFrame) -> DataFrame:
                     votes[host_of(url), path] += x / total
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array([signed(p) for _, p in votes], pa.int64()), pa.array([depth[p] for _, p in votes], pa.int32()), pa.array(list(votes.values()), pa.float64())], ["host", "path", "depth", "votes"])
 
-    votes = pages.select("url", "html").mapInArrow(run, "host string, path long, depth int, votes double")
+    votes = pages.select("url", "html").mapInArrow(trimmed(run), "host string, path long, depth int, votes double")
     total = votes.groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"), F.max("depth").alias("depth"))
     return total.groupBy("host").agg(F.max_by("path", F.struct("votes", "depth", "path")).alias("path"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars, path) of every page."""
-    from verbena.llm.shared import materialize
 
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     winners = materialize(host_paths(own), "host-paths")
@@ -428,4 +429,4 @@ def main_text(pages: DataFrame) -> DataFrame:
             got = [extract(page, None if path is None else path % (1 << 64)) for page, path in zip(strings(part.column(2)), strings(part.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t for t, _ in got], pa.string()), pa.array([len(t) for t, _ in got], pa.int64()), pa.array([p for _, p in got], pa.string())], ["page_id", "url", "text", "n_chars", "path"])
 
-    return joined.select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string, n_chars long, path string")
+    return joined.select("page_id", "url", "html", "path").mapInArrow(trimmed(run), "page_id long, url string, text string, n_chars long, path string")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from verbena.llm.shared import documents_of, text_bytes
+from verbena.llm.shared import documents_of, text_bytes, trimmed
 
 #: One sample: 8 x 8 picture elements of three 8-bit parts.
 SAMPLE = 192
@@ -292,7 +292,7 @@ def media_columns(df: DataFrame, media: str = "media") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns, *cols], [*keep, "codec", "duration", "n_samples", "keyframes"])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name in keep)
-    return df.select(*keep).mapInArrow(run, f"{own}, {FEATURES}")
+    return df.select(*keep).mapInArrow(trimmed(run), f"{own}, {FEATURES}")
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -303,7 +303,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
             texts = list(text_bytes(part.column(1)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([store(padded(x)) for x in texts], pa.large_binary()).cast(pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return documents_of(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return documents_of(docs).mapInArrow(trimmed(run), "doc_id long, n_bytes long, media binary")
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, " + FEATURES
@@ -326,4 +326,4 @@ def stored_digest(docs: DataFrame) -> DataFrame:
             types = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("codec", pa.string()), ("duration", pa.float64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])))]
             yield pa.RecordBatch.from_pylist(out, pa.schema(types))
 
-    return documents_of(docs).mapInArrow(run, DIGEST)
+    return documents_of(docs).mapInArrow(trimmed(run), DIGEST)

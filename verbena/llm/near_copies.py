@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verbena.llm.components import connected_components
-from verbena.llm.shared import FAMILIES, MADE, U64, documents_of, materialize, mix, scratch_dir, shuffle_partitions, spans_hash, text_bytes, word_spans
+from verbena.llm.shared import FAMILIES, MADE, U64, documents_of, materialize, mix, scratch_dir, shuffle_partitions, spans_hash, text_bytes, trimmed, word_spans
 from verbena.llm.simhash import rows_of_least, text_hash
 
 SHINGLE, LEAST = 5, 0.8
@@ -75,7 +75,7 @@ def sketches(texts: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.arange(len(values) + 1, dtype=np.int32) * BANDS, pa.array(flat))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, sets)), pa.int64()), lists], ["node", "size", "values"])
 
-    return texts.mapInArrow(run, "node long, size long, values array<long>")
+    return texts.mapInArrow(trimmed(run), "node long, size long, values array<long>")
 
 
 def decided(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def decided(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     firsts = texts.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     seconds = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     both = seconds.hint("merge").join(materialize(firsts, "first-texts"), "a")  # a merge join: its hot keys are split
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(run), "a long, b long")
 
 
 def text_table(own: DataFrame) -> DataFrame:

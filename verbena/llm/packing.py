@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm.shared import documents_of, materialize, shuffle_partitions
+from verbena.llm.shared import documents_of, materialize, shuffle_partitions, trimmed
 from verbena.llm.word_tokens import WordTokenizer
 
 CAPACITY = 4096
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_t
             doc_id, piece, start, length, crc = zip(*rows, strict=True) if rows else ([],) * 5
             yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return documents_of(docs).mapInArrow(run, PIECES)
+    return documents_of(docs).mapInArrow(trimmed(run), PIECES)
 
 
 def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -107,7 +107,7 @@ def place(ranked: DataFrame, plan: list[tuple[int, int, int, int, int]]) -> Data
             kept = [part.column(part.schema.get_field_index(c)) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(steps[at, 3] + rank - steps[at, 1]), pa.array(steps[at, 4])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, PIECES + ", sequence_id long, offset long")
+    return ranked.mapInArrow(trimmed(run), PIECES + ", sequence_id long, offset long")
 
 
 def with_rank(found: DataFrame) -> DataFrame:
@@ -134,7 +134,7 @@ def with_rank(found: DataFrame) -> DataFrame:
             local = np.arange(len(length)) - np.repeat(starts, sizes) + np.repeat(base, sizes)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(length), pid)), pa.array(local)], [*part.schema.names, "part", "local"])
 
-    numbered = materialize(dealt.mapInArrow(number, PIECES + ", part long, local long"), "numbered-pieces")
+    numbered = materialize(dealt.mapInArrow(trimmed(number), PIECES + ", part long, local long"), "numbered-pieces")
     from pyspark.sql import Window
 
     own = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from verbena.llm.shared import documents_of, joined, sums_by, text_groups, word_codes, word_spans
+from verbena.llm.shared import documents_of, joined, sums_by, text_groups, trimmed, word_codes, word_spans
 
 #: Repeats shorter than this are ordinary language.
 MIN_WORDS = 10
@@ -203,4 +203,4 @@ def repetition_rules(docs: DataFrame, max_covered: float = MAX_COVERED, max_long
                 cols = [ids.slice(at, len(texts)), *(pa.array(m[c], pa.int64()) for c in COLUMNS), pa.array(failed), pa.array(kept), pa.array(share), pa.array(m["longest_repeat"], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", *COLUMNS, "base_failed", "kept", "covered", "longest_repeat"])
 
-    return documents_of(docs).mapInArrow(run, SCHEMA)
+    return documents_of(docs).mapInArrow(trimmed(run), SCHEMA)

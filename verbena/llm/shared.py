@@ -63,6 +63,16 @@ def sweep(spark: SparkSession, made: list[tuple[str, str]]) -> None:
     made.clear()
 
 
+def trimmed(run):
+    """A worker's function that hands freed memory back when its part is done: workers stay alive beside the JVM in one budget."""
+
+    def run_and_trim(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(parts)
+        give_back_memory()
+
+    return run_and_trim
+
+
 def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df`` with a broadcast hint if its rows, counted, fit; a count reads a written table's footers only."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df.hint("merge")
@@ -171,7 +181,7 @@ def batch_table(docs: DataFrame, name: str, carry: tuple[str, ...] = ()) -> Data
     order = [F.col("__doc"), F.xxhash64("__text")]
     ordered = own.repartitionByRange(n, *order).sortWithinPartitions(*order, "__text")
     table = f"verbena_{name}_{uuid.uuid4().hex}"
-    (ordered.mapInArrow(partial(pack_rows, batch_bytes=BATCH_BYTES), BATCH_SCHEMA).write.format("parquet").option("compression", "none").option("path", f"{scratch_dir(spark)}/{table}")
+    (ordered.mapInArrow(trimmed(partial(pack_rows, batch_bytes=BATCH_BYTES)), BATCH_SCHEMA).write.format("parquet").option("compression", "none").option("path", f"{scratch_dir(spark)}/{table}")
      .bucketBy(n, "batch").saveAsTable(table))
     MADE.extend([("table", table), ("path", f"{scratch_dir(spark)}/{table}")])
     return spark.table(table)
@@ -357,7 +367,7 @@ def ask(batches: DataFrame, fn, answer_columns: int = 0) -> DataFrame:
                 rows = list(fn(*unpack(row["ids"], row["lens"], row["body"]), *({a["bucket"]: a["answer"] for a in row[n] or ()} for n in names)))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([row["batch"]] * len(rows), pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "batch", "payload"])
 
-    return batches.mapInArrow(run, "bucket int, batch long, payload binary")
+    return batches.mapInArrow(trimmed(run), "bucket int, batch long, payload binary")
 
 
 def answer(asked: DataFrame, tasks: int, fn) -> DataFrame:
@@ -366,6 +376,7 @@ def answer(asked: DataFrame, tasks: int, fn) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("batch")
         out = fn(table.column("payload").to_pylist(), table.column("batch").to_numpy())
+        give_back_memory()
         return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "answer": pa.array(out, pa.binary())})
 
     return asked.repartitionById(tasks, F.col("bucket")).groupBy("bucket").applyInArrow(run, "batch long, bucket int, answer binary")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbena.llm.components import connected_components
-from verbena.llm.shared import broadcast_if_small, documents_of, materialize, text_bytes
+from verbena.llm.shared import broadcast_if_small, documents_of, materialize, text_bytes, trimmed
 
 SEED = 42
 SHINGLE = 3
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, with
     own = documents_of(docs)
     if with_hash:
         own = own.withColumn("hash", text_hash(F.col("text")))
-    return own.mapInArrow(run, "doc_id long, fp long" + ", hash long" * with_hash)
+    return own.mapInArrow(trimmed(run), "doc_id long, fp long" + ", hash long" * with_hash)
 
 
 def signatures(fp: str) -> F.Column:

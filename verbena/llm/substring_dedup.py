@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from verbena.llm.shared import FAMILIES, NULL_ID, U64, answer, answers_by_batch, ask, batch_table, bucket_bounds, bucket_place, bucket_slices, exchange_tasks, expand_sorted, materialize, rising_spans_hash, spans_hash, squeeze_sorted, unpack, word_spans
+from verbena.llm.shared import FAMILIES, NULL_ID, U64, answer, answers_by_batch, ask, batch_table, bucket_bounds, bucket_place, bucket_slices, exchange_tasks, expand_sorted, materialize, rising_spans_hash, spans_hash, squeeze_sorted, trimmed, unpack, word_spans
 
 WINDOW = 20
 #: What a short form of a neighbouring word says: none, or several; else a number from 1 to 254.
@@ -208,7 +208,7 @@ def path_rows(marked: DataFrame, bounds: np.ndarray, key_bits: int) -> DataFrame
                 columns = zip(*rows, strict=True) if rows else ([] for _ in names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    return marked.mapInArrow(run, PATHS)
+    return marked.mapInArrow(trimmed(run), PATHS)
 
 
 PATH_KEY = ["source", "head", "n", "words"]
@@ -240,7 +240,7 @@ def single_edges(paths: DataFrame, key_bits: int) -> DataFrame:
                 words = [words_between(row["words"], e, i, WINDOW) for i in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([row["batch"]] * n, pa.int64()), pa.array([row["item"]] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([row["source"]] * n, pa.int64()), pa.array(e.key.view(np.int64)), pa.array(words, pa.binary())], ["batch", "item", "k", "source", "key", "words"])
 
-    return paths.select("batch", "item", "source", "words").mapInArrow(run, "batch long, item int, k int, source long, key long, words binary")
+    return paths.select("batch", "item", "source", "words").mapInArrow(trimmed(run), "batch long, item int, k int, source long, key long, words binary")
 
 
 def found_at_source(batches: DataFrame, singles: DataFrame, key_bits: int) -> DataFrame:
@@ -258,7 +258,7 @@ def found_at_source(batches: DataFrame, singles: DataFrame, key_bits: int) -> Da
                 have = {(int(e.key[i].view(np.int64)), words_between(body, e, int(e.at[i]), WINDOW)) for i in some.tolist()} & want
                 yield pa.RecordBatch.from_arrays([pa.array([row["batch"]] * len(have), pa.int64()), pa.array([k for k, _ in have], pa.int64()), pa.array([w for _, w in have], pa.binary())], ["source", "key", "words"])
 
-    return asked.mapInArrow(run, "source long, key long, words binary")
+    return asked.mapInArrow(trimmed(run), "source long, key long, words binary")
 
 
 def first_places(batches: DataFrame, collided: DataFrame, key_bits: int) -> DataFrame | None:
@@ -285,7 +285,7 @@ def first_places(batches: DataFrame, collided: DataFrame, key_bits: int) -> Data
                     words = [words_between(body, e, int(e.at[j]), WINDOW) for j in some.tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(e.key[some].view(np.int64)), pa.array(words, pa.binary()), pa.array(np.full(len(some), row["batch"], np.int64)), pa.array(e.at[some].astype(np.int64))], ["key", "words", "b", "at"])
 
-        own_places = batches.select("batch", "ids", "lens", "body").mapInArrow(run, "key long, words binary, b long, at long")
+        own_places = batches.select("batch", "ids", "lens", "body").mapInArrow(trimmed(run), "key long, words binary, b long, at long")
         first = materialize(own_places.groupBy("key", "words").agg(F.min(F.struct("b", "at")).alias("first")), "first-places")
         found = first if found is None else found.unionByName(first)
     return collided.join(found, ["key", "words"]).filter("first.b = batch").select("batch", "item", "k", F.col("first.at").alias("at"))
@@ -368,7 +368,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = False, carry: tuple[str,
                     cols += [c.combine_chunks() for c in unpacked(row["carry"]).columns] if carry else []
                 yield pa.RecordBatch.from_arrays(cols, [f.name for f in fields])
 
-    return final.select("ids", "lens", "body", "carry", "copies", "spared").mapInArrow(run, StructType(fields))
+    return final.select("ids", "lens", "body", "carry", "copies", "spared").mapInArrow(trimmed(run), StructType(fields))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from verbena.llm.shared import FAMILIES, NULL_ID, U64, answer, answers_by_batch, ask, batch_table, bucket_bounds, bucket_place, bucket_slices, exchange_tasks, expand_sorted, mix, squeeze_sorted, unpack
+from verbena.llm.shared import FAMILIES, NULL_ID, U64, answer, answers_by_batch, ask, batch_table, bucket_bounds, bucket_place, bucket_slices, exchange_tasks, expand_sorted, mix, squeeze_sorted, trimmed, unpack
 
 WINDOW, ANCHOR = 50, 25
 #: Anchors in a window, bytes around an anchor that its windows can reach.
@@ -384,4 +384,4 @@ def suffix_dedup(docs: DataFrame, with_kept: bool = False) -> DataFrame:
                 cols = [pa.array(v, t) for v, t in zip(out.values(), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols if with_kept else cols[:-1], list(out) if with_kept else list(out)[:-1])
 
-    return both.mapInArrow(run, OUT + ", kept binary" * with_kept)
+    return both.mapInArrow(trimmed(run), OUT + ", kept binary" * with_kept)

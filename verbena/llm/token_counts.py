@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from verbena.llm.shared import documents_of, joined, sums_by, text_groups
+from verbena.llm.shared import documents_of, joined, sums_by, text_groups, trimmed
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -118,4 +118,4 @@ def token_counts(docs: DataFrame, model_file: str) -> DataFrame:
             for at, texts in text_groups(part.column(1)):
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(at, len(texts)), pa.array(counter.counts(texts), pa.int64()), pa.array([len(x) for x in texts], pa.int64())], ["doc_id", "n_tokens", "n_bytes"])
 
-    return documents_of(docs).mapInArrow(run, "doc_id long, n_tokens long, n_bytes long")
+    return documents_of(docs).mapInArrow(trimmed(run), "doc_id long, n_tokens long, n_bytes long")

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verbena.llm.shared import documents_of, give_back_memory, joined, materialize, shuffle_partitions, text_groups, word_codes, word_spans
+from verbena.llm.shared import documents_of, give_back_memory, joined, materialize, shuffle_partitions, text_groups, trimmed, word_codes, word_spans
 
 FOLDS = 5
 MAX_EXAMPLES = 4000
@@ -268,7 +268,7 @@ def examples_of(sample: DataFrame) -> tuple[pa.Array, list[tuple[int, int, np.nd
                 flat = pa.table({"term": terms.take(pa.array(term)), "count": count.astype(np.int32)})
                 yield pa.RecordBatch.from_arrays([pa.array([packed(own)], pa.binary()), pa.array([packed(flat)], pa.binary())], ["own", "flat"])
 
-    rows = sample.select("doc_id", "toxic", "text").mapInArrow(run, "own binary, flat binary").collect()  # at most 2 * MAX_EXAMPLES texts' terms
+    rows = sample.select("doc_id", "toxic", "text").mapInArrow(trimmed(run), "own binary, flat binary").collect()  # at most 2 * MAX_EXAMPLES texts' terms
     both = [[pa.ipc.open_stream(r[c]).read_all() for r in rows] for c in ("own", "flat")]
     if not rows:
         return pa.array([], pa.string()), []
@@ -312,7 +312,7 @@ def document_vectors(docs: DataFrame, terms: pa.Array) -> DataFrame:
                 v = vectors.of(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(at, len(v)), packed_vectors(v), pa.array([x for _, _, x in v], pa.float64())], ["doc_id", "vector", "others"])
 
-    return materialize(documents_of(docs).mapInArrow(run, "doc_id long, vector binary, others double"), "term-vectors")
+    return materialize(documents_of(docs).mapInArrow(trimmed(run), "doc_id long, vector binary, others double"), "term-vectors")
 
 
 def document_frequencies(vectors: DataFrame, n_terms: int) -> tuple[np.ndarray, int]:
@@ -332,7 +332,7 @@ def document_frequencies(vectors: DataFrame, n_terms: int) -> tuple[np.ndarray,
         total = sum(np.frombuffer(x, np.int64) for x in table.column("counts").to_pylist())
         return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    rows = vectors.select("vector").mapInArrow(count, "chunk long, counts binary").groupBy("chunk").applyInArrow(add, "chunk long, counts binary")
+    rows = vectors.select("vector").mapInArrow(trimmed(count), "chunk long, counts binary").groupBy("chunk").applyInArrow(add, "chunk long, counts binary")
     out = np.zeros(n_terms + 1, np.int64)
     for r in rows.collect():  # a number for each term
         out[r["chunk"] : r["chunk"] + CHUNK_TERMS] = np.frombuffer(r["counts"], np.int64)
@@ -372,7 +372,7 @@ def scored(everything: DataFrame, model: Model) -> DataFrame:
 
     # the vector files are small: deal them anew, or a few tasks would do all lookups
     dealt = everything.repartition(max(shuffle_partitions(spark), everything.rdd.getNumPartitions()))
-    return dealt.mapInArrow(run, "doc_id long, score double, neighbours array<long>, terms array<string>")
+    return dealt.mapInArrow(trimmed(run), "doc_id long, score double, neighbours array<long>, terms array<string>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
@@ -396,4 +396,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EX
                 good += [x[0] < 0.5 for x in m.scores(vectors.of(texts))]
             yield part.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
