@@ -321,6 +321,33 @@ def test_near_copies_are_all_found(spark):
         assert near_copies.one_of_near_copies(df).count() <= df.count(), name
 
 
+def alike_texts(n: int = 160, words: int = 150) -> list[str]:
+    """A crowd of edited copies of one text, most of them below 0.8 of each other, some above, of unlike lengths."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in rng.integers(0, 900, words)]
+    out = []
+    for k in range(n):
+        text = list(base)
+        for at in rng.choice(words, rng.integers(1, 14), replace=False):
+            text[at] = f"edit{k}x{at}"
+        out.append(" ".join(text[: words - int(rng.integers(0, 12))]))
+    return out + [" ".join(base[:100]), " ".join(base[:125]), " ".join(base[20:])]
+
+
+def test_alike_texts_lose_no_link_and_give_few_pairs(spark):
+    from verbena.llm import near_copies
+
+    texts = alike_texts()
+    own = [slow_shingles(t) for t in texts]
+    linked = {(i, j) for i, j in itertools.combinations(range(len(own)), 2) if len(own[i] & own[j]) >= 0.8 * len(own[i] | own[j])}
+    nodes = spark.createDataFrame([(i, len(x), i) for i, x in enumerate(own)], "node long, size long, root long")
+    pairs = {tuple(sorted(r)) for r in near_copies.close_pairs(nodes, spark.createDataFrame(list(enumerate(texts)), "node long, text string")).collect()}
+    assert linked <= pairs and len(linked) > 20
+    assert len(pairs) < 3 * len(linked) < 0.2 * len(own) ** 2 / 2
+    kept = near_copies.one_of_near_copies(frame(spark, texts)).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(slow_copies(dict(enumerate(texts))).values()))
+
+
 def test_pipeline_keeps_no_near_copies(spark):
     import corpus_pipeline as p
 
