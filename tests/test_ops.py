@@ -183,3 +183,29 @@ def test_unused_categories_of_a_wide_column(spark):
     levels = [str(i) for i in range(0, 150_000, 5_000)] + ["never"]
     t = v.tbl(df.withMetadata("x", {"levels": levels})) >> v.mutate(x=_.x.cat.remove_unused_categories())
     assert t.to_spark().schema["x"].metadata["levels"] == levels[:-1]
+
+
+ROUNDS = [41.77 / 25.6 - 1, 1 - 41.77 / 25.6, 2.675, 1.005, 0.285, 258.4815, 0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, 0.125, -0.004, 1250.0, -1350.0, 123456789012.12345678, 1e15 + 0.5, 1e301, 1.7e308, float("inf"), float("-inf"), None]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 8, 12, -2])
+def test_round_of_doubles_is_that_of_sql(spark, n):
+    import duckdb
+
+    con = duckdb.connect()
+    want = [con.execute("SELECT round(?::DOUBLE, ?::INTEGER)", [x, n]).fetchall()[0][0] for x in ROUNDS]
+    if n < 0:  # there DuckDB gives 0 for what is not finite
+        want = [x if x is not None and np.isinf(x) else w for x, w in zip(ROUNDS, want, strict=True)]
+    t = v.tbl(spark.createDataFrame(list(enumerate(ROUNDS)), "id long, x double"))
+    got = [r["o"] for r in (t >> v.mutate(o=_.x.round(n))).to_spark().orderBy("id").collect()]
+    assert list(map(repr, got)) == list(map(repr, want))
+    of_sums = [r["o"] for r in (t >> v.group_by(_.id) >> v.summarize(o=_.x.sum().round(n))).to_spark().orderBy("id").collect()]
+    assert of_sums == want
+    nan = v.tbl(spark.createDataFrame([(float("nan"),)], "x double")) >> v.mutate(o=_.x.round(n))
+    assert np.isnan(nan.to_spark().first()["o"])
+
+
+def test_round_of_a_window_computes_it_once(spark):
+    out = v.tbl(frame(spark, "num")) >> v.group_by(_.g) >> v.arrange(_.id) >> v.mutate(o=(1 + _.x / 3).cumprod().round(2))
+    plan = out.to_spark()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("product(") == 1

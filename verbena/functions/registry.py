@@ -32,6 +32,8 @@ class Spec:
     kind: str
     impl: Callable[..., Any]
     is_property: bool = False
+    #: It uses its arguments several times: windows in them are staged, so that each is computed once.
+    repeats: bool = False
 
 
 OPS: dict[str, Spec] = {}
@@ -41,9 +43,9 @@ def lit(x: Any) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
-def add(kind: str, names: str, impl: Callable[..., Any], is_property: bool = False) -> None:
+def add(kind: str, names: str, impl: Callable[..., Any], is_property: bool = False, repeats: bool = False) -> None:
     for name in names.split():
-        OPS[name] = Spec(name, kind, impl, is_property)
+        OPS[name] = Spec(name, kind, impl, is_property, repeats)
 
 
 def elwise(names: str, is_property: bool = False) -> Callable:
@@ -135,7 +137,20 @@ for _r, _of in {"__radd__ radd": "__add__", "__rsub__ rsub": "__sub__", "__rmul_
 add("elwise", "__invert__", lambda c, x: ~lit(x) if c.is_bool(x) else F.bitwise_not(lit(x)))
 add("elwise", "__neg__", lambda c, x: -lit(x))
 add("elwise", "__pos__", lambda c, x: lit(x))
-add("elwise", "__round__ round", lambda c, x, decimals=0: F.round(lit(x), decimals))
+
+
+def rounded(c: Any, x: Any, decimals: Any = 0) -> Column:
+    """Half away from zero. A double is scaled, rounded to a whole number and scaled back, as in SQL and numpy; Spark's
+    own ``round`` takes the shortest decimal that stands for it, which can be a tie where the double is below or above."""
+    if not isinstance(x, Column) or not isinstance(decimals, int) or abs(decimals) > 300 or not isinstance(c.dtype(x), T.DoubleType):
+        return F.round(lit(x), decimals)
+    by = 10.0 ** abs(decimals)
+    scaled = x * by if decimals >= 0 else x / by
+    whole = F.when(F.abs(scaled - F.rint(scaled)) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(F.rint(scaled))
+    return F.when(F.abs(scaled) < math.inf, whole / by if decimals >= 0 else whole * by).otherwise(x)  # no overflow; NaN stays
+
+
+add("elwise", "__round__ round", rounded, repeats=True)
 
 # --- row by row ----------------------------------------------------------------------------------
 

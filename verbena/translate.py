@@ -227,8 +227,9 @@ class Context:
         finally:
             self.aggregating = was
         parts = [*terms, *named.values()]
-        values = [self.value_of(t, inner_rows) for t in terms]
-        keywords = {k: self.value_of(t, inner_rows) for k, t in named.items()}
+        stage = inner_rows or getattr(spec, "repeats", False)
+        values = [self.value_of(t, stage) for t in terms]
+        keywords = {k: self.value_of(t, stage) for k, t in named.items()}
         before = self.df
         # an aggregate over the whole table is a joined column, not a window
         out = spec.impl(self, *values, **keywords)
